@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licences, maxscore, sharding
+from . import chat, decontam, licences, maxscore, sharding
 
 QUERIES = {
     "op3_shards": sharding.op3_shards,
     "op4_licences": licences.op4_licences,
     "op5_chat": chat.op5_chat,
+    "op6_decontaminate": decontam.op6_decontaminate,
     "op10_topk": maxscore.op10_topk,
 }
-SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op10_topk": maxscore.OP10_SQL}
+SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op6_decontaminate": decontam.OP6_SQL, "op10_topk": maxscore.OP10_SQL}
