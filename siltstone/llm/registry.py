@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licences, maxscore, sharding
+from . import chat, decontam, licences, lm, maxscore, sharding
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op3_shards": sharding.op3_shards,
     "op4_licences": licences.op4_licences,
     "op5_chat": chat.op5_chat,
