@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licences, lm, maxscore, sharding
+from . import chat, decontam, licences, lm, maxscore, sharding, simhash
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
+    "op2_simhash": simhash.op2_simhash,
     "op3_shards": sharding.op3_shards,
     "op4_licences": licences.op4_licences,
     "op5_chat": chat.op5_chat,
