@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licences, lm, maxscore, sharding, simhash
+from . import chat, decontam, licences, linededup, lm, maxscore, sharding, simhash
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licences": licences.op4_licences,
     "op5_chat": chat.op5_chat,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op8_lines": linededup.op8_lines,
     "op10_topk": maxscore.op10_topk,
 }
 SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op6_decontaminate": decontam.OP6_SQL, "op10_topk": maxscore.OP10_SQL}
