@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licences, linededup, lm, maxscore, sharding, simhash
+from . import chat, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op8_lines": linededup.op8_lines,
+    "op9_pieces": pieces.op9_pieces,
     "op10_topk": maxscore.op10_topk,
 }
 SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op6_decontaminate": decontam.OP6_SQL, "op10_topk": maxscore.OP10_SQL}
