@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash
+from . import chat, cotrain, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licences": licences.op4_licences,
     "op5_chat": chat.op5_chat,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op7_quality": cotrain.op7_quality,
     "op8_lines": linededup.op8_lines,
     "op9_pieces": pieces.op9_pieces,
     "op10_topk": maxscore.op10_topk,
