@@ -1,0 +1,140 @@
+"""File sources: directory listing, content kinds, decoding, hashes; documents of office formats where their libraries exist."""
+
+from __future__ import annotations
+
+import codecs
+import importlib.util
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Media types of office formats; encodings in the order in which they are tried.
+OFFICE = {
+    "word": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.openxmlformats-officedocument.wordprocessingml.template", "application/vnd.ms-word.document.macroenabled.12", "application/vnd.ms-word.template.macroenabled.12", "application/msword", "application/vnd.ms-word"],
+    "excel": ["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.spreadsheetml.template", "application/vnd.ms-excel.sheet.macroenabled.12", "application/vnd.ms-excel.template.macroenabled.12", "application/vnd.ms-excel.sheet.binary.macroenabled.12", "application/vnd.ms-excel", "application/excel"],
+    "powerpoint": ["application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.openxmlformats-officedocument.presentationml.template", "application/vnd.openxmlformats-officedocument.presentationml.slideshow", "application/vnd.ms-powerpoint.presentation.macroenabled.12", "application/vnd.ms-powerpoint.slideshow.macroenabled.12", "application/vnd.ms-powerpoint", "application/vnd.ms-powerpoint.presentation"],
+}
+JSON_TYPES = ["application/json", "application/x-ndjson", "application/ld+json", "application/problem+json"]
+TEXT_TYPES = ["application/xml", "application/xhtml+xml", "application/javascript", "application/x-sh"]
+ENCODINGS = ["utf-8-sig", "cp949", "euc-kr"]
+PROBE = 64 * 1024
+
+
+def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """binaryFile rows below `folder` by path; names that begin with a dot below it are left out, those with an underscore are not."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*").load(folder)
+    base = folder.rstrip("/") + "/"
+    below = F.substring_index(F.col("path"), base, -1)
+    own = found.where(~below.rlike(r"(^|/)\."))
+    own = own if recursive else own.where(~below.contains("/"))
+    return own.orderBy("path")
+
+
+def kind_of_type(mime: Column) -> Column:
+    """File kind of a media type; unknown if it is none of ours."""
+    out = F.when(mime == "application/pdf", "pdf").when(mime.isin(JSON_TYPES), "json")
+    for kind, types in OFFICE.items():
+        out = out.when(mime.isin(types), kind)
+    for media in ("image", "video", "audio"):
+        out = out.when(F.startswith(mime, F.lit(f"{media}/")), media)
+    return out.when(F.startswith(mime, F.lit("text/")) | mime.isin(TEXT_TYPES), "text").otherwise("unknown")
+
+
+def sniffed_kind(content: Column, path: Column) -> Column:
+    """File kind by leading bytes; zip containers are told apart by extension, and plain text by having no zero byte."""
+    head = F.hex(F.substring(content, 1, 16))
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    zipped = F.when(ext.isin("docx", "dotx"), "word").when(ext.isin("xlsx", "xltx"), "excel").when(ext.isin("pptx", "potx", "ppsx"), "powerpoint").otherwise("unknown")
+    return (
+        F.when(head.startswith("25504446"), "pdf")
+        .when(head.startswith("89504E47") | head.startswith("FFD8FF") | head.startswith("47494638") | head.rlike("^52494646.{8}57454250"), "image")
+        .when(head.rlike("^.{8}66747970") | head.startswith("1A45DFA3"), "video")
+        .when(head.startswith("494433") | head.startswith("FFFB") | head.startswith("664C6143") | head.rlike("^52494646.{8}57415645") | head.startswith("4F676753"), "audio")
+        .when(head.startswith("504B0304"), zipped)
+        .when(ext == "json", "json")
+        .when(F.instr(F.hex(F.substring(content, 1, 4096)), "0000") > 0, "unknown")
+        .otherwise("text")
+    )
+
+
+def modality_of(kind: Column) -> Column:
+    return F.when(kind.isin("text", "txt", "json", "pdf", "word", "excel", "powerpoint"), "text").when(kind.isin("image", "video", "audio"), kind).otherwise("unknown")
+
+
+def checked_kind(kind: Column, path: Column) -> Column:
+    """`kind`, or an error where it contradicts the extension."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    want = F.when(ext == "docx", "word").when(ext == "xlsx", "excel").when(ext == "pptx", "powerpoint").when(ext == "pdf", "pdf").when(ext == "json", "json")
+    return F.when(want.isNull() | (want == kind), kind).otherwise(F.raise_error(F.concat(F.lit("kind and extension differ: "), path)).cast("string"))
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    return files.select("path", F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("file_size"))
+
+
+def pick_encoding(data: bytes, preferred: str = "utf-8") -> str:
+    """First encoding that decodes the beginning; a character cut at its end does not count against it."""
+    for name in [preferred, *ENCODINGS]:
+        try:
+            codecs.getincrementaldecoder(name)().decode(data[:PROBE], final=False)
+            return name
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return "utf-8"
+
+
+@F.pandas_udf(StringType())
+def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Text of binary contents by `pick_encoding`; what cannot be decoded is replaced."""
+    for s in contents:
+        yield s.map(lambda b: bytes(b).decode(pick_encoding(bytes(b)), errors="replace"), na_action="ignore")
+
+
+def segments(files: DataFrame) -> DataFrame:
+    """(path, kind, position, segment) of files (path, kind, content): paragraphs, sheet rows, slides or pages.
+
+    Word, sheet, slide and PDF files need their libraries; a missing one is an error, not an empty file.
+    """
+
+    def parts(kind: str, data: bytes) -> Iterator[str]:
+        need = {"word": "docx", "excel": "openpyxl", "powerpoint": "pptx", "pdf": "pypdf"}.get(kind)
+        if need and importlib.util.find_spec(need) is None:
+            raise RuntimeError(f"{kind} files need {need}")
+        if kind == "word":
+            import docx
+
+            yield from (p.text for p in docx.Document(io.BytesIO(data)).paragraphs)
+        elif kind == "excel":
+            import openpyxl
+
+            for sheet in openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True).worksheets:
+                yield f"[시트] {sheet.title}"
+                for row in sheet.iter_rows(values_only=True):
+                    if cells := [str(c) for c in row if c not in (None, "")]:
+                        yield " | ".join(cells)
+        elif kind == "powerpoint":
+            import pptx
+
+            for i, slide in enumerate(pptx.Presentation(io.BytesIO(data)).slides, 1):
+                yield f"[슬라이드] {i}"
+                yield from (s.text for s in slide.shapes if getattr(s, "text", ""))
+        elif kind == "pdf":
+            import pypdf
+
+            yield from (p.extract_text() for p in pypdf.PdfReader(io.BytesIO(data)).pages)
+        elif kind in ("text", "json"):
+            yield from data.decode(pick_encoding(data), errors="replace").split("\n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, kind, data in zip(batch["path"].to_pylist(), batch["kind"].to_pylist(), batch["content"].to_pylist()):
+                own = list(parts(kind, data))
+                if own:
+                    yield pa.record_batch([pa.array([path] * len(own)), pa.array([kind] * len(own)), pa.array(range(len(own)), pa.int32()), pa.array(own)], names=["path", "kind", "position", "segment"])
+
+    return files.select("path", "kind", "content").mapInArrow(run, "path string, kind string, position int, segment string")
