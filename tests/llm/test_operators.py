@@ -1,0 +1,501 @@
+"""Each operator on odd inputs and against brute force."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import chat, components, cotrain, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, doc string, line string, uid string, row string, score string, removed string"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Copies, near copies, nulls, empty and long texts, repeated rows."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    common = ["the", "of", "and", "a"]
+    make = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(words) for _ in range(n))
+    base = ["\n".join(make(rng.randint(3, 25)) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    out = list(enumerate(base))
+    for i in range(20):
+        t = base[i].split(" ")
+        t[rng.randrange(len(t))] = "changed"
+        out.append((100 + i, " ".join(t)))
+        out.append((200 + i, base[i]))
+    out += [(300, None), (301, ""), (302, " \n\t "), (303, make(30_000)), (None, base[3]), (None, None), (5, base[5]), (5, base[5]), (7, "other text with the same id"), (304, "ÄÖ İ ß\x0b\x1c\u00a0\u2028 é😀 " * 5)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en" if (i or 0) % 3 else None, f"src{(i or 0) % 2}", len(t) if t else None, *["x"] * 7) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(r):
+    return tuple((x is None, str(x)) for x in r)
+
+
+# --- language model ------------------------------------------------------------------------------------------------
+
+
+def lm_rows(docs, **kw):
+    own = docs.select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
+    return lm.score(lm.train(own.where("not held_out"), **kw), own).collect()
+
+
+def test_lm_counts_match_brute_force(docs, texts):
+    counts, toks = Counter(), []
+    for i, t in texts:
+        w = (t or "").encode().lower().split() + [None]
+        out = zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+        toks.append((i, out, w))
+        if not out:
+            counts.update(w)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted(((i, out, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, out, w in toks), key=key)
+    got = lm_rows(docs)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=key) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_lm_segments_change_nothing(docs):
+    a, b = (sorted(map(tuple, lm_rows(docs, segment_bytes=n)), key=key) for n in (1 << 30, 4000))
+    assert a == b
+
+
+def test_lm_filter_levels():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    counts = rng.integers(1, 100, 5000)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(np.ones(5000, np.int8)), pa.array(lm._region(keys).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "region", "key", "n"])
+    rows = [r for b in lm._build(iter([batch])) for r in b.to_pylist()]
+    sizes = [dict(r, body=len(r["body"]), counts=len(r["counts"])) for r in rows]
+    got = lm.Segment(sizes, iter(rows)).levels(keys)
+    want = lm._level(counts)
+    assert (got >= want).all() and (got == want).mean() > 0.95  # never too low, rarely too high
+    absent = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    assert (lm.Segment(sizes, iter(rows)).levels(absent) > 0).mean() < 0.06
+
+
+def test_lm_empty(empty):
+    assert lm_rows(empty) == []
+
+
+# --- SimHash -------------------------------------------------------------------------------------------------------
+
+
+def brute_components(fps, ids, bits):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= bits:
+                parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i in range(len(fps)):
+        if ids[i] is not None:
+            least[find(i)].append(ids[i])
+    return [min(least[find(i)], default=None) for i in range(len(fps))]
+
+
+def test_simhash_matches_brute_force(docs, texts):
+    import xxhash
+
+    def fp(t):
+        w = (t or "").encode().lower().split()
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fp(t) for _, t in texts]
+    want = sorted(zip([i for i, _ in texts], fps, brute_components(fps, [i for i, _ in texts], 4)), key=key)
+    got = sorted(((r.id, r.fp & (2**64 - 1), r.component) for r in simhash.near_duplicates(docs).collect()), key=key)
+    assert got == want
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_links_of_a_dense_cluster(spark, bits):
+    """Many fingerprints within a few bits of each other: the components of all links, from few links."""
+    rng = random.Random(bits)
+    center = rng.getrandbits(64)
+    fps = sorted({center ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) & (2**64 - 1) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), bits)
+    rows = links.collect()
+    assert all(0 < bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= bits for r in rows)
+    root = {r.u: r.root for r in components.components(links).collect()}
+    got = [root.get(f, f) for f in signed]
+    assert got == brute_components(fps, signed, bits)
+
+
+def test_chain_never_loses_a_link():
+    rng = np.random.default_rng(2)
+    x = np.zeros(2000, np.uint64)
+    for _ in range(4):
+        x ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+    assert simhash.chain_holds(x).all()
+
+
+def test_keep_one(docs, empty):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    comp = {r.id: r.component for r in simhash.near_duplicates(docs).collect() if r.id is not None}
+    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {i for i, c in comp.items() if i == c}
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {(r.u, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
+
+
+# --- sharding ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit", [500, 20_000, 10**9])
+def test_shards(docs, texts, limit):
+    rows = sharding.extendible_shards(docs, limit).collect()
+    assert sorted(((r.id, r.bytes) for r in rows), key=key) == sorted(((i, len((t or "").encode())) for i, t in texts), key=key)
+    sizes, n = Counter(), Counter()
+    for r in rows:
+        sizes[r.shard] += r.bytes
+        n[r.shard] += 1
+    assert all(r.shard_bytes == sizes[r.shard] and r.shard_rows == n[r.shard] and r.depth == len(r.shard) for r in rows)
+    assert all(s <= limit or n[k] == 1 for k, s in sizes.items())
+    assert all(r.oversized == (sizes[r.shard] > limit) for r in rows)
+    # a shard was split from one that was too large, and no shard lies within another
+    names = sorted(sizes)
+    assert not any(b.startswith(a) and a != b for a, b in zip(names, names[1:]))
+    for k in names:
+        if k:
+            assert sum(s for j, s in sizes.items() if j.startswith(k[:-1])) > limit
+
+
+def test_shards_of_rows_alike(spark, empty):
+    same = spark.createDataFrame([(1, "x" * 100)] * 64, "doc_id long, text string")
+    rows = sharding.extendible_shards(same, 450).collect()
+    assert len(rows) == 64 and max(Counter(r.shard for r in rows).values()) <= 4
+    assert sharding.extendible_shards(empty).count() == 0
+
+
+def test_write_shards(docs, tmp_path, spark):
+    sharding.write_shards(docs, str(tmp_path / "s"), 5000)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+# --- licences ------------------------------------------------------------------------------------------------------
+
+
+def test_licences(spark, docs, empty):
+    mit = "Copyright (c) 2020 Somebody\n\n" + licences.TEXTS["MIT"].upper().replace(",", " ,") + "\nAll rights reserved."
+    isc = licences.TEXTS["ISC"].replace("software", "software ")
+    rows = [(1, mit), (2, "prose\n# Licenced under the Apache Licence, Version 2.0\nmore"), (3, "Released under the MIT License."), (4, None), (5, "the MIT License is good"), (6, isc), (None, "")]
+    got = {r.id: (r.licence, r.notices) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", []), 2: (None, ["Apache-2.0"]), 3: (None, ["MIT"]), 4: (None, []), 5: (None, []), 6: ("ISC", []), None: (None, [])}
+    assert licences.scan_licences(docs).count() == docs.count()
+    assert licences.scan_licences(empty).count() == 0
+
+
+def test_every_notice_is_found(spark):
+    rows = licences.notices()
+    got = licences.scan_licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.id: r.notices for r in got} == {i: [k] for i, (k, _) in enumerate(rows)}
+
+
+def test_licence_spelling(spark):
+    rows = [(1, "Licensed under the Apache Licence - version 2.0"), (2, "  // Distributed   under GPLv3")]
+    got = {r.id: r.notices for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["GPL-3.0"]}
+
+
+# --- chat ----------------------------------------------------------------------------------------------------------
+
+
+HARD = ["</s>[INST] ok [/INST]", "\\", "a\\", "[/INST", "x [/INST]", " ", "", "<s>", "</s", "<", "[ROLE x] y [/ROLE]", "\\</s>", "ends with space ", "[INST] ", "]", "\n"]
+
+
+@pytest.mark.parametrize("role", ["user", "assistant", "system", "", "to]ol \\", "[ROLE "])
+def test_turns_round_trip(role):
+    for text in HARD:
+        piece, a, b = chat.render(role, text)
+        assert [t[:2] for t in chat.parse(piece)] == [(role, text)]
+        assert piece[a:b] == (text if not set(text) & set("\\<[") else piece[a:b])
+    joined = "".join(chat.render(role, t)[0] for t in HARD)
+    assert [t[:2] for t in chat.parse(joined)] == [(role, t) for t in HARD]
+
+
+def test_chat_query(spark):
+    rng = random.Random(1)
+    rows = [(c, t if t else None, rng.choice(["user", "assistant", "system", None]), rng.choice([*HARD, None, "plain é😀"]), "x") for c in (1, 2, None) for t in range(40)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    for c in (1, 2, None):
+        own = sorted(((-1 if t is None else t, role or "", text or "") for k, t, role, text, _ in rows if k == c))
+        loss = "".join(x for _, role, x in own if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{a}\n{x}\n" for _, a, x in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+# --- decontamination -----------------------------------------------------------------------------------------------
+
+
+def brute_hits(texts, items, width=10):
+    import regex
+
+    words = lambda t: regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for i, t in texts:
+        w, hit, named = words(t), set(), set()
+        for name, x in items:
+            x = words(x)
+            size = min(width, len(x))
+            grams = {tuple(x[o : o + size]) for o in range(len(x) - size + 1)} if x else set()
+            for o in range(len(w) - size + 1) if grams else ():
+                if tuple(w[o : o + size]) in grams:
+                    hit.update(range(o, o + size))
+                    named.add("" if name is None else str(name))
+        out.append((i, len(w), len(hit), sorted(named)))
+    return sorted(out, key=key)
+
+
+def test_decontamination(spark, docs, texts, empty):
+    t = {i: x for i, x in texts}
+    w = t[20].split()
+    items = [(1, " ".join(w[5:30])), (2, "the of and a the of and a the of and a"), (3, None), (4, ""), (11, " ".join(w[8:20])), (2, "changed"), (None, "the other text"), (6, "nothing that occurs anywhere at all in these texts zz")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1))
+    got = decontam.contamination(docs, bench)
+    assert sorted(((r.id, r.n_words, r.n_hit, r.item_ids) for r in got.collect()), key=key) == brute_hits(texts, items)
+    assert decontam.contamination(empty, bench).count() == 0
+    none = decontam.contamination(docs, bench.limit(0)).collect()
+    assert len(none) == len(texts) and not any(r.n_hit for r in none)
+
+
+def test_decontamination_without_broadcast(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(decontam, "_small", lambda df, rows=0: df)
+    items = [(1, " ".join(texts[20][1].split()[:40]))]
+    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r.id, r.n_words, r.n_hit, r.item_ids) for r in got.collect()), key=key) == brute_hits(texts, items)
+
+
+def test_proximity(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, item), (2, item.replace("five six", "six five")), (3, item.replace("five", "x y z five"))], "doc_id long, text string")
+    vocabulary, terms = decontam.item_terms(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    index = decontam.build_index(docs, vocabulary)
+    ids = {r.row: r.id for r in index.where("term = -1").collect()}
+    found = lambda slop: {ids[r.row] for r in decontam.matches(index, terms, slop=slop).collect()}
+    assert found(0) == {1} and found(1) == {1, 2} and found(3) == {1, 2, 3}
+
+
+# --- classifier ----------------------------------------------------------------------------------------------------
+
+
+def test_classifier_held_out(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows, labels = [], []
+    for i in range(900):
+        good = rng.random() < 0.8
+        text = " ".join(rng.choice(words) + ("" if good else rng.choice(["%%%", "&&&"])) for _ in range(rng.randint(20, 80)))
+        rows.append((i, text, "en", "s1" if good else rng.choice(["s1", "s2"]), len(text)))
+        labels.append((i, int(good), 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([x for x in labels if x[0] % 3 == 0], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in cotrain.score(df, cotrain.fit(df, lab)).collect()}
+    for view, least in (("text_score", 0.97), ("score", 0.97), ("meta_score", 0.75)):
+        right = [(got[i][view] >= 0.5) == bool(q) for i, q, _ in labels if i % 3]
+        assert np.mean(right) >= least
+    again = {r.doc_id: r.score for r in cotrain.score(df, cotrain.fit(df, lab)).collect()}
+    assert all(again[i] == pytest.approx(r.score) for i, r in got.items())
+
+
+def test_co_training_passes_labels_between_views():
+    """One view alone has seen a feature that the other learns from its pseudo-labels."""
+    rng = np.random.default_rng(0)
+    y = np.array([0, 1] * 20)
+    a = (y[:, None] * 2 - 1 + rng.normal(0, 0.3, (40, 1))).astype(np.float32)
+    b = rng.normal(0, 1, (40, 2)).astype(np.float32)
+    t = np.array([0, 1] * 500)
+    pa_ = (t[:, None] * 2 - 1 + rng.normal(0, 0.3, (1000, 1))).astype(np.float32)
+    pb = np.c_[t * 2 - 1 + rng.normal(0, 0.5, 1000), rng.normal(0, 1, 1000)].astype(np.float32)
+    apart = np.arange(40) % 4 == 0
+    alone, together = (cotrain.co_train((a, b), y, (pa_, pb), apart, rounds=r) for r in (0, 5))
+    right = [((cotrain._odds(m.views[1][0], pb) > 0) == (t == 1)).mean() for m in (alone, together)]
+    assert right[1] > 0.9 > right[0]
+
+
+def test_classifier_odd_inputs(spark, docs, empty):
+    lab = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, None), (None, 1), (4, 1), (6, 0)], "doc_id long, quality int")
+    kept = cotrain.keep_good(docs, lab)
+    assert kept.columns == docs.columns
+    assert cotrain.score(docs, cotrain.fit(docs, lab)).count() == docs.count()
+    assert {r.score for r in cotrain.score(docs, cotrain.fit(docs, lab.limit(0))).collect()} == {1.0}
+    assert cotrain.score(empty, cotrain.fit(empty, lab)).count() == 0
+
+
+# --- line dedup ----------------------------------------------------------------------------------------------------
+
+
+def brute_lines(texts, threshold=0.8):
+    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0, texts[k][1] is not None, texts[k][1] or ""))
+    seen, out = [], {}
+    for k in order:
+        gone = []
+        for j, x in enumerate((texts[k][1] or "").encode().lower().split(b"\n")):
+            s = frozenset(x.split())
+            if s:
+                if any(len(s & o) >= threshold * len(s | o) - 1e-9 for o in seen):
+                    gone.append(j)
+                seen.append(s)
+        out[k] = gone
+    return out
+
+
+def lines_got(df):
+    return sorted(((r.doc_id, r.text, r["__removed"]) for r in linededup.dedup_lines(df).collect()), key=key)
+
+
+def lines_want(texts):
+    gone = brute_lines(texts)
+    return sorted(((i, t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k]), gone[k]) for k, (i, t) in enumerate(texts)), key=key)
+
+
+def test_line_dedup(docs, texts, empty):
+    own = [(i, t) for i, t in texts if i != 303]  # the brute force is slow on the long text
+    assert lines_got(docs.where("doc_id is null or doc_id <> 303")) == lines_want(own)
+    assert lines_got(empty) == []
+
+
+def test_line_dedup_of_unique_ids(spark, texts):
+    own = [(k, t) for k, (i, t) in enumerate(texts) if i != 303]
+    assert lines_got(spark.createDataFrame(own, "doc_id long, text string")) == lines_want(own)
+
+
+def test_line_dedup_of_many_variants(spark):
+    """A large family of variants of a line and false candidates: more candidates than the first round takes."""
+    rng = random.Random(4)
+    core = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join(core[:15] + rng.sample(core[15:] + [f"v{k}" for k in range(12)], rng.randint(3, 6)))) for i in range(150)]
+    assert lines_got(spark.createDataFrame(rows, "doc_id long, text string")) == lines_want(rows)
+
+
+def test_keep_documents(spark):
+    rows = [(1, "a b c\nd e f"), (2, "d e f\na b c"), (3, ""), (4, None), (5, "a b c\nnew line here")]
+    got = linededup.keep_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=key) == [(1, "a b c\nd e f"), (3, ""), (4, None), (5, "new line here")]
+
+
+# --- SentencePiece -------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def transducer():
+    return pieces.load()
+
+
+def test_pieces_match_library(transducer):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(6)
+    letters = list("abcdefgh the and ing  \n\t.,0123456789éßñ漢字😀ЖAZ\r\\<>")
+    words = [p.replace("▁", " ") for p in transducer.ids if len(p) < 8]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters if rng.random() < 0.5 else words) for _ in range(rng.randint(0, 20)))
+        ids = transducer.encode(text)
+        assert ids == sp.encode(text)
+        assert transducer.decode(ids) == text
+
+
+def test_literal_space_sign_round_trips(transducer):
+    for text in ("▁", "a▁ b", "▁▁x ", " ▁"):
+        assert transducer.decode(transducer.encode(text)) == text
+
+
+def test_unigram_shortest_path():
+    """A small unigram model against all segmentations."""
+    import itertools
+    import struct
+
+    def field(n, data):
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    rng = random.Random(7)
+    own = {"".join(p): -rng.uniform(1, 5) for n in (1, 2, 3) for p in itertools.product("ab▁", repeat=n) if n == 1 or rng.random() < 0.5}
+    own = {k: v for k, v in own.items() if "▁" not in k[1:]}
+    piece = lambda t, s, k: field(1, field(1, t.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, k]))
+    data = b"".join(piece(f"<0x{b:02X}>", 0, pieces.BYTE) for b in range(256)) + b"".join(piece(t, s, pieces.NORMAL) for t, s in own.items())
+    data += field(2, b"\x18\x01" + b"\x98\x02\x01") + field(3, b"\x18\x01\x20\x00\x28\x01")
+    t = pieces.Transducer(data)
+    assert t.kind == pieces.UNIGRAM
+
+    def best(s):
+        return min((min(-own[s[:i]] + best(s[i:]) for i in range(1, len(s) + 1) if s[:i] in own) if s else 0.0,))
+
+    for _ in range(200):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 8)))
+        got = t.shortest("▁" + text.replace(" ", "▁"))
+        assert sum(-own[p] for p in got) == pytest.approx(best("▁" + text.replace(" ", "▁")), abs=1e-4)
+        assert t.decode(t.encode(text)) == text
+
+
+def test_encode_and_decode_rows(docs, texts, empty, transducer):
+    got = pieces.encode(docs, transducer)
+    rows = got.collect()
+    assert all(r.exact == (r.ids is not None) for r in rows)
+    back = sorted((tuple(r) for r in pieces.decode(got, transducer).collect()), key=key)
+    assert back == sorted(texts, key=key)
+    assert pieces.encode(empty, transducer).count() == 0
+
+
+# --- top-k ---------------------------------------------------------------------------------------------------------
+
+
+def brute_topk(rows, every, k):
+    own = [(u, i, [math.floor(64 * x) for x in v]) for u, (i, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for u, i, q in own:
+        if i is not None and i % every == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(q, v)), j if j is not None else 1 << 62, w) for w, j, v in own if w != u))
+            out += [(i, r + 1, None if j == 1 << 62 else j, -s) for r, (s, j, _) in enumerate(scored[:k])]
+    return sorted(out, key=key)
+
+
+def test_topk(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0, 0.1, -0.25, rng.gauss(0, 0.3)]) for _ in range(12)]) for i in range(400)]
+    rows += [(5, rows[5][1]), (20, rows[20][1]), (20, rows[20][1]), (None, rows[3][1]), (401, None), (402, [None] * 12), (403, [float("nan")] * 12), (404, [float("inf")] * 12), (405, []), (406, [0.5] * 5), (420, [0.5] * 15)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").coalesce(1)
+    run = lambda **kw: sorted(map(tuple, maxscore.exact_topk(df.repartition(3), F.col("vec_id") % 20 == 0, k=7, scale=64.0, **kw).collect()), key=key)
+    want = brute_topk(rows, 20, 7)
+    monkeypatch.setattr(maxscore, "CHUNK", 50)
+    assert run() == want
+    assert run(query_block=4) == want
+    few = df.limit(3)
+    assert len(maxscore.exact_topk(few, F.col("vec_id") == 0, k=7, scale=64.0).collect()) == 2
+    assert maxscore.exact_topk(df.limit(0), F.col("vec_id") == 0, k=7, scale=64.0).count() == 0
