@@ -168,9 +168,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts, lines = known_digests(spark)
     held = {r["known"]: r["licence"] for r in lines.collect()}  # a fixed list
     table_ = F.create_map(*[F.lit(x) for kv in held.items() for x in kv])
-    # Only a line that names a licence word can be a notice; the words are those of the fixed list.
+    # every known notice holds one of these words
     canon = docs.select(F.col(f"`{id_col}`").alias("id"), canonical_lines(F.col(f"`{text_col}`")).alias("canon"))
-    hits = F.transform(F.filter(F.split("canon", "\n"), lambda x: x.contains("license")), lambda x: F.element_at(table_, digest(whole(x))))
+    hits = F.transform(F.filter(F.split("canon", "\n"), lambda x: x.rlike("license|under")), lambda x: F.element_at(table_, digest(whole(x))))
     out = canon.select("id", digest(whole(F.col("canon"))).alias("text_digest"), F.array_sort(F.array_distinct(F.array_compact(hits))).alias("notices"))
     return out.join(F.broadcast(texts), out.text_digest == texts.known, "left").select("id", "text_digest", "licence", "notices")
 
