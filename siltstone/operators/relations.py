@@ -215,8 +215,8 @@ def review_decisions(edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
 
     Only proposed edges change, so of several decisions on an edge the first counts and the others fail.
     """
-    bad = decisions.select(F.assert_true(F.col("action").isin("approve", "reject"), F.lit("unknown action")).alias("x"), "edge_id", "seq", "action", "by").drop("x")
-    ranked = bad.withColumn("i", F.row_number().over(Window.partitionBy("edge_id").orderBy("seq")))
+    action = F.when(F.col("action").isin("approve", "reject"), F.col("action")).otherwise(F.raise_error(F.lit("unknown action")).cast("string"))
+    ranked = decisions.select("edge_id", "seq", action.alias("action"), "by").withColumn("i", F.row_number().over(Window.partitionBy("edge_id").orderBy("seq")))
     open_ = edges.where("status = 'proposed'").select("edge_id", F.lit(True).alias("open"))
     judged = ranked.join(open_, "edge_id", "left").withColumn("ok", F.coalesce("open", F.lit(False)) & (F.col("i") == 1))
     change = judged.where("ok").select("edge_id", F.when(F.col("action") == "approve", "active").otherwise("rejected").alias("to"), "by")
