@@ -7,7 +7,7 @@ meaning a smaller document id, then line number. Lines without words stay.
 Lines are first reduced to distinct sets. Tokens are ordered by rarity: by the token's share of a table of
 hashed frequencies of fixed size, filled from all lines, ties by hash. A set is indexed under its rarest tokens (its
 prefix: n - ceil(t n) + 1 of n), and sets that meet under a token are kept if their sizes (length filter), the
-tokens left after the shared one (positional filter) and a 64-bit sketch of the set allow the threshold.
+tokens left after the shared one (positional filter) and a sketch of the set (64 to 256 bits by size) allow the threshold.
 What is left is verified on the sets themselves. Only whether an earlier match exists matters, so a first
 round verifies the `FIRST` closest candidates of a set under each token; sets that remain unmatched and had
 more go on to a round with all of theirs. Groups of any size are thus settled without all their pairs.
@@ -37,7 +37,9 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 COMMON = 1000  # a token with more than one in so many occurrences is left out of the sketch
 WORDS_HELD = 200_000
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 1_000_000
+SMALL_GROUP = 512
+WIDE = 4  # most words of 64 bits in a sketch
 
 _U = np.uint64
 _LINE = "doc long, line int, set long, n int"
@@ -68,19 +70,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, texts = batch["doc"].to_numpy(), batch["text"].cast(pa.binary()).to_pylist()
         for i in range(0, len(texts), 128):
-            doc, line, flat, lens = [], [], [], []
-            for d, text in zip(docs[i : i + 128], texts[i : i + 128]):
+            doc, line, words, lens = [], [], [], []
+            for d, text in zip(docs[i : i + 128].tolist(), texts[i : i + 128]):
                 for k, row in enumerate((text or b"").lower().split(b"\n")):
                     if w := row.split():
                         doc.append(d)
                         line.append(k)
                         lens.append(len(w))
-                        flat.append(np.fromiter(map(tokens.__getitem__, w), _U, len(w)))
+                        words += w
+            flat = np.fromiter(map(tokens.__getitem__, words), _U, len(words))
             if len(tokens) > WORDS_HELD:
                 tokens = _Tokens()
             if not doc:
                 continue
-            key = np.unique((np.repeat(np.arange(len(lens), dtype=_U), lens) << _U(32)) | np.concatenate(flat))
+            key = np.unique((np.repeat(np.arange(len(lens), dtype=_U), lens) << _U(32)) | flat)
             at, tok = (key >> _U(32)).astype(np.int64), key & _U(0xFFFFFFFF)
             n = np.bincount(at, minlength=len(lens))
             start = np.cumsum(n) - n
@@ -130,12 +133,39 @@ def hashed_frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def sketches(tok: np.ndarray, common: np.ndarray, n: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """WIDE words a set: token bits in the first 1, 2 or 4 words by the set's size, so that a wider sketch folds onto a narrower one."""
+    width = np.repeat(_width(n), n).astype(_U)
+    h = _mix(tok)
+    bit = np.where(common[(tok % _U(BUCKETS)).astype(np.int64)], _U(0), _U(1) << (h & _U(63)))
+    word = (h >> _U(6)) % width
+    return [np.bitwise_or.reduceat(np.where(word == _U(k), bit, _U(0)), start) for k in range(WIDE)]
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    return np.where(n <= 64, 1, np.where(n <= 128, 2, WIDE))
+
+
+def sketch_gap(sk: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of sets i and j differ, at the width of the narrower one: at most their symmetric difference."""
+    width = np.minimum(_width(n[i]), _width(n[j]))
+    out = np.zeros(len(i), np.int64)
+    for w in (1, 2, WIDE):
+        at = np.flatnonzero(width == w)
+        if len(at):
+            for k in range(w):
+                a, b = (np.bitwise_or.reduce([x[r[at]] for x in sk[k::w]]) for r in (i, j))
+                out[at] += np.bitwise_count(a ^ b)
+    return out
+
+
 def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
 
 
 def _prefixes(sets: DataFrame, frequency: np.ndarray, threshold: float) -> DataFrame:
-    """Rows (token, n, pos, sketch, doc, line, ask) of the prefix tokens of each set; only sets with `ask` look for an earlier one."""
+    """Rows (token, n, pos, s0.., doc, line[, ask]) of the prefix tokens of each set; if there is a column `ask`, only sets with it look for an earlier one."""
+    asks = "ask" in sets.columns
     rank = np.empty(BUCKETS, _U)
     rank[np.argsort(frequency, kind="stable")] = np.arange(BUCKETS, dtype=_U)
     common = frequency * COMMON > max(1, frequency.sum())
@@ -149,101 +179,123 @@ def _prefixes(sets: DataFrame, frequency: np.ndarray, threshold: float) -> DataF
                 n, tok = batch["n"].to_numpy().astype(np.int64), _flat(batch["tokens"]).astype(_U)
                 at = np.repeat(np.arange(len(n)), n)
                 start = np.cumsum(n) - n
-                bit = np.where(common[(tok % _U(BUCKETS)).astype(np.int64)], _U(0), _U(1) << (_mix(tok) & _U(63)))
-                sketch = np.bitwise_or.reduceat(bit, start)
+                if not len(n):
+                    continue
+                sk = sketches(tok, common, n, start)
                 key = np.sort((at.astype(_U) << _U(50)) | (rank[(tok % _U(BUCKETS)).astype(np.int64)] << _U(32)) | tok)
                 pos = np.arange(len(key)) - np.repeat(start, n)
                 keep = np.flatnonzero(pos < np.repeat(prefix_size(n, threshold), n))
                 at, pos = at[keep], pos[keep]
                 token = (key[keep] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.record_batch(
-                    [pa.array(token), pa.array(n[at].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sketch[at].view(np.int64)), pa.array(batch["doc"].to_numpy()[at]), pa.array(batch["line"].to_numpy()[at]), pa.array(batch["ask"].to_numpy(zero_copy_only=False)[at])],
-                    names=["token", "n", "pos", "sketch", "doc", "line", "ask"],
-                )
+                cols = {"token": token, "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), **{f"s{k}": x[at].view(np.int64) for k, x in enumerate(sk)}, "doc": batch["doc"].to_numpy()[at], "line": batch["line"].to_numpy()[at]}
+                if asks:
+                    cols["ask"] = batch["ask"].to_numpy(zero_copy_only=False)[at]
+                yield pa.record_batch([pa.array(x) for x in cols.values()], names=list(cols))
 
-    return sets.select("doc", "line", "n", "tokens", "ask").mapInArrow(run, "token int, n int, pos int, sketch long, doc long, line int, ask boolean")
+    kinds = f"token int, n int, pos int, {', '.join(f's{k} long' for k in range(WIDE))}, doc long, line int" + ", ask boolean" * asks
+    return sets.select("doc", "line", "n", "tokens", *["ask"] * asks).mapInArrow(run, kinds)
 
 
 _CANDIDATE = "doc long, line int, doc2 long, line2 int"
 
 
-def _group(n, pos, sketch, doc, line, ask, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier) indices of candidates within one token's group sorted by n, and the later ones that had more than `most`."""
-    size, reach = len(n), np.searchsorted(n, np.floor(n / threshold + 1e-9), side="right")
-    later, earlier, far = [], [], []
-    block = max(1, 1_000_000 // max(1, size))
-    sk = sketch.view(_U)
-    for a in range(0, size, block):
-        b = min(size, a + block)
-        top = int(reach[a:b].max())
-        i, j = np.arange(a, b)[:, None], np.arange(a, top)[None, :]
+class _Rows:
+    """Columns of prefix rows with the filters on pairs of them."""
+
+    def __init__(self, cols: dict[str, np.ndarray], threshold: float):
+        self.token, self.doc, self.line = cols["token"], cols["doc"], cols["line"].astype(np.int64)
+        self.n, self.pos = cols["n"].astype(np.int64), cols["pos"].astype(np.int64)
+        self.sk = [cols[f"s{k}"].view(_U) for k in range(WIDE)]
+        self.ask = cols.get("ask")
+        self.threshold = threshold
+
+    def pass_(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier, sketch gap) of pairs within the length bound that pass the other filters and whose later row asks."""
+        n, left = self.n, self.n - self.pos
         total = n[i] + n[j]
-        need = np.ceil(total * threshold / (1 + threshold) - 1e-9)
-        ok = (j > i) & (j < reach[i]) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
-        gap = np.bitwise_count(sk[i] ^ sk[j])
-        ok &= gap <= total - 2 * need
-        x, y = np.nonzero(ok)
-        gap = gap[x, y]
-        x, y = x + a, y + a
-        late = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
-        x, y = np.where(late, x, y), np.where(late, y, x)
-        asks = ask[x]
-        far.append(gap[asks])
-        later.append(x[asks])
-        earlier.append(y[asks])
-    later, earlier, far = np.concatenate(later), np.concatenate(earlier), np.concatenate(far)
-    if most is None or not len(later):
-        return later, earlier, later[:0]
-    order = np.lexsort((line[earlier], doc[earlier], far, later))
-    later, earlier = later[order], earlier[order]
-    first = np.r_[True, np.diff(later) != 0]
-    at = np.arange(len(later)) - np.maximum.accumulate(np.where(first, np.arange(len(later)), 0))
-    return later[at < most], earlier[at < most], np.unique(later[at >= most])
+        need = np.ceil(total * self.threshold / (1 + self.threshold) - 1e-9).astype(np.int64)
+        at = np.flatnonzero(np.minimum(left[i], left[j]) >= need)
+        i, j, most = i[at], j[at], (total - 2 * need)[at]
+        gap = sketch_gap(self.sk, n, i, j)
+        at = np.flatnonzero(gap <= most)
+        i, j, gap = i[at], j[at], gap[at]
+        late = (self.doc[i] > self.doc[j]) | ((self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j]))
+        i, j = np.where(late, i, j), np.where(late, j, i)
+        if self.ask is not None:
+            at = np.flatnonzero(self.ask[i])
+            i, j, gap = i[at], j[at], gap[at]
+        return i, j, gap
+
+    def candidates(self, end: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier) of the rows before `end`, at most `most` of each later row, and the later rows that had more."""
+        token = self.token[:end]
+        edge = np.r_[0, np.flatnonzero(np.diff(token) != 0) + 1, end]
+        size = np.diff(edge)
+        group = np.repeat(np.arange(len(size)), size)
+        wide = int(self.n[:end].max()) * 2 + 2  # rows of a group are sorted by n: reach is the end of the length bound
+        reach = np.searchsorted(group * wide + self.n[:end], group * wide + np.floor(self.n[:end] / self.threshold + 1e-9).astype(np.int64), side="right")
+        ahead = reach - np.arange(end) - 1
+        found = []
+        step, at = 1, np.flatnonzero((ahead > 0) & (size[group] <= SMALL_GROUP))
+        while len(at):  # all pairs (row, row + step) of all small groups at once
+            found.append(self.pass_(at, at + step))
+            step += 1
+            at = at[ahead[at] >= step]
+        over = []
+        for k in np.flatnonzero(size > SMALL_GROUP):  # each row against those before it; what is kept stays linear
+            own = np.arange(edge[k], edge[k + 1])
+            own = own[np.lexsort((self.line[own], self.doc[own]))]
+            n = self.n[own]
+            for p in range(1, len(own)):
+                if self.ask is None or self.ask[own[p]]:
+                    near = own[:p][(n[:p] >= n[p] * self.threshold - 1e-9) & (n[:p] <= n[p] / self.threshold + 1e-9)]
+                    i, j, gap = self.pass_(np.full(len(near), own[p]), near)
+                    if most is not None and len(j) > most:
+                        first = np.lexsort((self.line[j], self.doc[j], gap))[:most]
+                        i, j, gap = i[first], j[first], gap[first]
+                        over.append(own[p])
+                    found.append((i, j, gap))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        later, earlier, gap = (np.concatenate(x) for x in zip(*found))
+        if most is None or not len(later):
+            return later, earlier, later[:0]
+        order = np.lexsort((self.line[earlier], self.doc[earlier], gap, later))
+        later, earlier = later[order], earlier[order]
+        first = np.r_[True, np.diff(later) != 0]
+        nth = np.arange(len(later)) - np.maximum.accumulate(np.where(first, np.arange(len(later)), 0))
+        return later[nth < most], earlier[nth < most], np.unique(np.r_[later[nth >= most], np.array(over, np.int64)])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float, most: int | None) -> Iterator[pa.RecordBatch]:
     """Candidates of rows sorted by token and n; a null partner says that there were more."""
-    names = ("token", "n", "pos", "sketch", "doc", "line", "ask")
-    held, done = None, False
+    held: list[dict[str, np.ndarray]] = []
+    done = False
     while not done:
         batch = next(batches, None)
         done = batch is None
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names] if not done else None
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)] if cols else held
-        if not cols or not len(cols[0]):
-            continue
-        edge = np.r_[0, np.flatnonzero(np.diff(cols[0]) != 0) + 1, len(cols[0])]
         if not done:
-            held, edge = [c[edge[-2] :] for c in cols], edge[:-1]
-        own = [c.astype(np.int64) if c.dtype == np.int32 else c for c in cols[1:]]
-        later, earlier, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        if len(two):  # most groups
-            n, pos, sketch, doc, line, ask = own
-            i, j = two, two + 1
-            total = n[i] + n[j]
-            need = np.ceil(total * threshold / (1 + threshold) - 1e-9)
-            ok = (n[i] >= n[j] * threshold - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (np.bitwise_count(sketch[i].view(_U) ^ sketch[j].view(_U)) <= total - 2 * need)
-            i, j = i[ok], j[ok]
-            late = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-            i, j = np.where(late, i, j), np.where(late, j, i)
-            later.append(i[ask[i]])
-            earlier.append(j[ask[i]])
-        for k in np.flatnonzero(size > 2):
-            a, b = edge[k], edge[k + 1]
-            for into, got in zip((later, earlier, more), _group(*(c[a:b] for c in own), threshold, most)):
-                into.append(got + a)
-        later, earlier, more = map(np.concatenate, (later, earlier, more))
+            if not batch.num_rows:
+                continue
+            held.append({c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names})
+            if held[0]["token"][0] == held[-1]["token"][-1]:
+                continue  # one token so far: wait for its end
+        if not held:
+            continue
+        cols = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        token = cols["token"]
+        end = len(token) if done else int(np.flatnonzero(np.diff(token) != 0)[-1]) + 1
+        rows = _Rows(cols, threshold)
+        later, earlier, more = rows.candidates(end, most)
+        held = [] if done else [{c: x[end:] for c, x in cols.items()}]
         if len(later):
-            yield _candidates(cols, later, earlier)
+            yield _candidates(rows, later, earlier)
         if len(more):
-            yield _candidates(cols, more, None)
+            yield _candidates(rows, more, None)
 
 
-def _candidates(cols, later, earlier) -> pa.RecordBatch:
-    doc, line = cols[4], cols[5]
+def _candidates(rows: _Rows, later: np.ndarray, earlier: np.ndarray | None) -> pa.RecordBatch:
+    doc, line = rows.doc, rows.line.astype(np.int32)
     rest = [pa.nulls(len(later), pa.int64()), pa.nulls(len(later), pa.int32())] if earlier is None else [pa.array(doc[earlier]), pa.array(line[earlier])]
     return pa.record_batch([pa.array(doc[later]), pa.array(line[later]), *rest], names=["doc", "line", "doc2", "line2"])
 
@@ -271,7 +323,7 @@ def similar_later(sets: DataFrame, threshold: float) -> DataFrame:
     """(doc, line) of the sets of `sets` (doc, line, n, tokens) that match an earlier one."""
     frequency = hashed_frequencies(sets)
     rows = lambda of: _prefixes(of, frequency, threshold).repartition("token").sortWithinPartitions("token", "n", "doc", "line")
-    close = written(rows(sets.withColumn("ask", F.lit(True))).mapInArrow(lambda b: _meet(b, threshold, FIRST), _CANDIDATE).distinct(), "close")
+    close = written(rows(sets).mapInArrow(lambda b: _meet(b, threshold, FIRST), _CANDIDATE).distinct(), "close")
     found = written(_verified(close.where("doc2 is not null"), sets, threshold), "found")
     more = written(close.where("doc2 is null").select("doc", "line").distinct().join(_small(found), ["doc", "line"], "left_anti"), "unsettled")
     if more.isEmpty():
@@ -295,8 +347,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     """(all lines with words: doc, line, set, n; those of them to remove: doc, line) of documents with __doc."""
     lines = written(docs.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_sets, f"{_LINE}, tokens binary"), "line-sets")
     first = written(lines.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("f")).select("set", F.col("f.doc").alias("doc"), F.col("f.line").alias("line")), "first-lines")
-    similar = similar_later(lines.where("tokens is not null").select("doc", "line", "n", "tokens"), threshold)
-    repeats = lines.select("doc", "line", "set").join(first.withColumnsRenamed({"doc": "fd", "line": "fl"}), "set").where("doc <> fd or line <> fl").select("doc", "line")
+    places = lines.select("doc", "line", "set", F.col("tokens").isNotNull().alias("held"))
+    repeats = written(places.join(first.withColumnsRenamed({"doc": "fd", "line": "fl"}), "set").where("doc <> fd or line <> fl").select("doc", "line", "held"), "repeats")
+    sets = lines.where("tokens is not null").select("doc", "line", "n", "tokens").join(_small(repeats.where("held").select("doc", "line")), ["doc", "line"], "left_anti")
+    similar = similar_later(sets, threshold)
+    repeats = repeats.select("doc", "line")
     return lines, written(repeats.unionByName(similar).distinct(), "removed-lines")
 
 

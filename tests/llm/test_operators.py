@@ -83,14 +83,14 @@ def test_lm_filter_levels():
     counts = rng.integers(1, 100, 5000)
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array(np.ones(5000, np.int8)), pa.array(lm._region(keys).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "region", "key", "n"])
+    batch = pa.record_batch([pa.array(np.ones(5000, np.int8)), pa.array(lm._region(keys, 10).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "region", "key", "n"])
     rows = [r for b in lm._build(iter([batch])) for r in b.to_pylist()]
     sizes = [dict(r, body=len(r["body"]), counts=len(r["counts"])) for r in rows]
-    got = lm.Segment(sizes, iter(rows)).levels(keys)
+    got = lm.Segment(sizes, iter(rows), 10).levels(keys)
     want = lm._level(counts)
     assert (got >= want).all() and (got == want).mean() > 0.95  # never too low, rarely too high
     absent = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    assert (lm.Segment(sizes, iter(rows)).levels(absent) > 0).mean() < 0.06
+    assert (lm.Segment(sizes, iter(rows), 10).levels(absent) > 0).mean() < 0.06
 
 
 def test_lm_empty(empty):
@@ -396,12 +396,24 @@ def test_line_dedup_of_unique_ids(spark, texts):
     assert lines_got(spark.createDataFrame(own, "doc_id long, text string")) == lines_want(own)
 
 
-def test_line_dedup_of_many_variants(spark):
+def test_line_dedup_of_many_variants(spark, monkeypatch):
     """A large family of variants of a line and false candidates: more candidates than the first round takes."""
     rng = random.Random(4)
     core = [f"c{i}" for i in range(20)]
     rows = [(i, " ".join(core[:15] + rng.sample(core[15:] + [f"v{k}" for k in range(12)], rng.randint(3, 6)))) for i in range(150)]
-    assert lines_got(spark.createDataFrame(rows, "doc_id long, text string")) == lines_want(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines_got(df) == lines_want(rows)
+    own = linededup.keyed(df, "doc_id")
+    found = []
+    for small in (linededup.SMALL_GROUP, 4):  # all groups at once, or large ones row by row
+        cols = [b for b in linededup._sets(iter(own.selectExpr("__doc AS doc", "text").toArrow().to_batches()))]
+        sets = spark.createDataFrame([tuple(r[c] for c in ("doc", "line", "n", "tokens")) for b in cols for r in b.to_pylist() if r["tokens"]], "doc long, line int, n int, tokens binary")
+        pre = linededup._prefixes(sets, linededup.hashed_frequencies(sets), 0.8).toArrow().to_pandas().sort_values(["token", "n", "doc", "line"])
+        part = linededup._Rows({c: pre[c].to_numpy() for c in pre.columns}, 0.8)
+        monkeypatch.setattr(linededup, "SMALL_GROUP", small)
+        later, earlier, more = part.candidates(len(pre), 3)
+        found.append((sorted(zip(later.tolist(), earlier.tolist())), sorted(more.tolist())))
+    assert found[0] == found[1] and found[0][1]
 
 
 def test_keep_documents(spark):
@@ -460,7 +472,7 @@ def test_unigram_shortest_path():
     for _ in range(200):
         text = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 8)))
         got = t.shortest("▁" + text.replace(" ", "▁"))
-        assert sum(-own[p] for p in got) == pytest.approx(best("▁" + text.replace(" ", "▁")), abs=1e-4)
+        assert sum(-own[t.text[p]] for p in got) == pytest.approx(best("▁" + text.replace(" ", "▁")), abs=1e-4)
         assert t.decode(t.encode(text)) == text
 
 
