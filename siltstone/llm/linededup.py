@@ -95,7 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(None)
                 else:
                     out.append(body[4 * a : 4 * b])
-                    if len(seen) < 4 * WORDS_HELD:
+                    if len(seen) < 2 * WORDS_HELD:
                         seen.add(s)
             yield pa.record_batch([pa.array(np.array(doc, np.int64)), pa.array(np.array(line, np.int32)), pa.array(sets), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], names=["doc", "line", "set", "n", "tokens"])
 
@@ -329,7 +329,10 @@ def similar_later(sets: DataFrame, threshold: float) -> DataFrame:
     if more.isEmpty():
         return found
     asked = sets.join(_small(more.withColumn("ask", F.lit(True))), ["doc", "line"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    pairs = written(rows(asked).mapInArrow(lambda b: _meet(b, threshold, None), _CANDIDATE).distinct(), "all-candidates")
+    # only the groups of their own prefix tokens matter
+    tokens = written(_prefixes(asked.where("ask"), frequency, threshold).select("token").distinct(), "asked-tokens")
+    again = _prefixes(asked, frequency, threshold).join(_small(tokens), "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "doc", "line")
+    pairs = written(again.mapInArrow(lambda b: _meet(b, threshold, None), _CANDIDATE).distinct(), "all-candidates")
     return found.unionByName(_verified(pairs, sets, threshold)).distinct()
 
 
