@@ -10,7 +10,8 @@ An input is composed with it position by position, and the path of least weight
 (minimum, plus) gives the ids. For a unigram model that is the Viterbi path. For a BPE model a state also
 remembers the last piece, and an arc to the next piece exists only where merging the two pieces' characters
 by the model's ranks leaves exactly these two; a sequence of pieces is the merge result just when each adjacent
-pair is, so the path that is left is the model's own encoding.
+pair is, so the composition has one accepting path, the model's own encoding. The shortest path is then that path, and
+a depth-first composition, longest arcs first, that remembers dead states finds it without building the others.
 
 No piece reaches over the end of a word, so the composition falls apart at such places: the factors (a word with
 its leading spaces, or a character that no longer piece holds) are solved once each and remembered, a set
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNITS_HELD = 300_000
+UNITS_HELD = 200_000
 PAIRS_HELD = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -113,6 +115,7 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = i
         self.text = {i: t for t, i in self.ids.items()}
+        self.base = len(pieces)  # ids from here on stand for single characters that go to bytes
         inside = {c for t in self.ids if len(t) > 1 for c in t} - {SPACE}
         if any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids):
             self.cut = None  # some piece reaches over the end of a word
@@ -123,10 +126,11 @@ class Transducer:
 
     def _reset(self):
         self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.old: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("units", "pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("units", "old", "pairs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -145,65 +149,90 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _joins(self, a: str, b: str) -> bool:
+    def _spelled(self, i: int) -> str:
+        return self.text[i] if i < self.base else chr(i - self.base)
+
+    def _joins(self, a: int, b: int) -> bool:
         """Whether pieces a and b may stand side by side in a BPE encoding."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= PAIRS_HELD:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= PAIRS_HELD:
+            self.pairs.clear()
+        x, y = self._spelled(a), self._spelled(b)
+        ok = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
-    def shortest(self, text: str) -> list[str]:
-        """Pieces (or single characters for the byte pieces) on the path of least weight."""
-        size, bpe = len(text), self.kind == BPE
-        # states at each position: last piece -> (weight, position before, last piece before)
-        states: list[dict] = [{} for _ in range(size + 1)]
-        states[0][""] = (0.0, -1, "")
-        score, joins, trie, pairs = self.score, self._joins, self.trie, self.pairs
-        for at in range(size):
-            here = states[at]
-            if not here:
+    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(piece, end) of the arcs from a position, longest first; the bytes of a character without a piece last."""
+        out, node, end, size = [], self.trie, at, len(text)
+        while end < size:
+            node = node.get(text[end])
+            if node is None:
+                break
+            end += 1
+            piece = node.get("")
+            if piece is not None:
+                out.append((piece, end))
+        out.reverse()
+        if text[at] not in self.ids:
+            out.append((self.base + ord(text[at]), at + 1))
+        return out
+
+    def shortest(self, text: str) -> list[int]:
+        """Pieces on the path of least weight; ids from `base` on are characters that go to bytes."""
+        return self._merging(text) if self.kind == BPE else self._viterbi(text)
+
+    def _viterbi(self, text: str) -> list[int]:
+        best: list[tuple[float, int, int] | None] = [None] * (len(text) + 1)
+        best[0] = (0.0, -1, -1)
+        for at, here in enumerate(best[:-1]):
+            here = best[at]
+            if here is None:
                 continue
-            node, end, single = trie, at, False
-            while end < size:
-                node = node.get(text[end])
-                if node is None:
-                    break
-                end += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                single = single or end == at + 1
-                word, there = text[at:end], states[end]
-                for last, state in here.items():
-                    if bpe and last and not (pairs.get((last, word)) or joins(last, word)):
-                        continue
-                    weight, key = state[0] - score[piece], word if bpe else ""
-                    if key not in there or weight < there[key][0]:
-                        there[key] = (weight, at, last) if bpe else (weight, at, word)
-            if not single and text[at] not in self.ids:  # bytes
-                word, there = text[at], states[at + 1]
-                for last, state in here.items():
-                    if bpe and last and not joins(last, word):
-                        continue
-                    weight, key = state[0] + _ESCAPE, word if bpe else ""
-                    if key not in there or weight < there[key][0]:
-                        there[key] = (weight, at, last) if bpe else (weight, at, word)
-        out, at = [], size
-        last = min(states[size], key=lambda k: states[size][k][0])
+            for piece, end in self._arcs(text, at):
+                weight = here[0] + (_ESCAPE if piece >= self.base else -self.score[piece])
+                if best[end] is None or weight < best[end][0]:
+                    best[end] = (weight, at, piece)
+        out, at = [], len(text)
         while at:
-            _, before, word = states[at][last]
-            out.append(last if bpe else word)
-            at, last = before, word if bpe else ""
+            _, at, piece = best[at]
+            out.append(piece)
         return out[::-1]
 
+    def _merging(self, text: str) -> list[int]:
+        size, pairs = len(text), self.pairs
+        arcs: list[list[tuple[int, int]] | None] = [None] * size
+        out: list[int] = []
+        back: list[tuple[int, int]] = []  # position and next arc to try of the states before
+        dead: set[tuple[int, int]] = set()
+        at, k, last = 0, 0, -1
+        while at < size:
+            own = arcs[at]
+            if own is None:
+                own = arcs[at] = self._arcs(text, at)
+            while k < len(own):
+                piece, end = own[k]
+                k += 1
+                if last >= 0:
+                    ok = pairs.get(last << 32 | piece)
+                    if not (self._joins(last, piece) if ok is None else ok):
+                        continue
+                if dead and (end, piece) in dead:
+                    continue
+                back.append((at, k))
+                out.append(piece)
+                at, k, last = end, 0, piece
+                break
+            else:
+                dead.add((at, last))
+                at, k = back.pop()
+                out.pop()
+                last = out[-1] if out else -1
+        return out
+
     def _unit(self, text: str) -> bytes:
-        ids: list[int] = []
-        for p in self.shortest(text):
-            i = self.ids.get(p)
-            ids.extend([i] if i is not None else [self.byte[b] for b in p.encode()])
-        return np.array(ids, "<i4").tobytes()
+        ids = self.shortest(text)
+        if ids and max(ids) >= self.base:
+            ids = [b for i in ids for b in ([i] if i < self.base else [self.byte[c] for c in chr(i - self.base).encode()])]
+        return array("i", ids).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -216,9 +245,10 @@ class Transducer:
             for unit in self.cut.findall(norm) if self.cut else [norm] * bool(norm):
                 got = units.get(unit)
                 if got is None:
-                    if len(units) >= UNITS_HELD:
-                        units.clear()
-                    got = units[unit] = self._unit(unit)
+                    if len(units) >= UNITS_HELD:  # the generation before stays in reach
+                        self.old, self.units = units, {}
+                        units = self.units
+                    got = units[unit] = self.old.get(unit) or self._unit(unit)
                 out.append(got)
         return b"".join(out)
 
