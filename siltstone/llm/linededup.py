@@ -346,10 +346,15 @@ def keyed(docs: DataFrame, id_col: str) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all lines with words: doc, line, set, n; those of them to remove: doc, line) of documents with __doc."""
     lines = written(docs.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_sets, f"{_LINE}, tokens binary"), "line-sets")
-    first = written(lines.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("f")).select("set", F.col("f.doc").alias("doc"), F.col("f.line").alias("line")), "first-lines")
+    place = F.struct("doc", "line")
+    bearer = F.min(F.when(F.col("tokens").isNotNull(), place)).alias("b")  # not the first line if its task read a later one before it
+    first = lines.groupBy("set").agg(F.min(place).alias("f"), bearer).select("set", F.col("f.doc").alias("fd"), F.col("f.line").alias("fl"), F.col("b.doc").alias("bd"), F.col("b.line").alias("bl"))
     places = lines.select("doc", "line", "set", F.col("tokens").isNotNull().alias("held"))
-    repeats = written(places.join(first.withColumnsRenamed({"doc": "fd", "line": "fl"}), "set").where("doc <> fd or line <> fl").select("doc", "line", "held"), "repeats")
-    sets = lines.where("tokens is not null").select("doc", "line", "n", "tokens").join(_small(repeats.where("held").select("doc", "line")), ["doc", "line"], "left_anti")
+    bears = F.expr("doc = bd AND line = bl")
+    to = [F.when(bears, F.col(c)).alias(c) for c in ("fd", "fl")]
+    repeats = written(places.join(written(first, "first-lines"), "set").where("doc <> fd or line <> fl").select("doc", "line", "held", *to), "repeats")
+    own = lines.where("tokens is not null").select("doc", "line", "n", "tokens").join(_small(repeats.where("held")), ["doc", "line"], "left")
+    sets = own.where("held is null or fd is not null").select(F.coalesce("fd", "doc").alias("doc"), F.coalesce("fl", "line").alias("line"), "n", "tokens")
     similar = similar_later(sets, threshold)
     repeats = repeats.select("doc", "line")
     return lines, written(repeats.unionByName(similar).distinct(), "removed-lines")

@@ -396,6 +396,14 @@ def test_line_dedup_of_unique_ids(spark, texts):
     assert lines_got(spark.createDataFrame(own, "doc_id long, text string")) == lines_want(own)
 
 
+def test_line_dedup_of_rows_out_of_order(spark):
+    """A line that its task reads before the first one of the same set, and near matches of both."""
+    line, near = " ".join(f"a{i}" for i in range(12)), " ".join(f"a{i}" for i in range(11))
+    rows = [(9, line), (3, line), (5, near), (7, near), (1, "x y"), (2, near + " b")]
+    for own in (rows, rows[:4]):
+        assert lines_got(spark.createDataFrame(own, "doc_id long, text string").coalesce(1)) == lines_want(own)
+
+
 def test_line_dedup_of_many_variants(spark, monkeypatch):
     """A large family of variants of a line and false candidates: more candidates than the first round takes."""
     rng = random.Random(4)
