@@ -15,7 +15,8 @@ more go on to a round with all of theirs. Groups of any size are thus settled wi
 Ids: the document id tells documents apart where it is unique and not null; otherwise rows get ids of their own,
 written first, ordered by document id (nulls first). A null text stays null and has no lines. A document that
 loses every line that holds words is removed itself; one that had none stays. Repeated rows: the first is kept.
-Tokens are 32-bit hashes. An empty table gives no rows. Extra columns are carried along.
+Tokens are 64-bit hashes (of n different words, n^2 / 2^65 pairs are expected to be taken for equal), as are the keys of
+sets; only the keys of the index are cut to 32 bits. An empty table gives no rows. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ _LINE = "doc long, line int, set long, n int"
 
 class _Tokens(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh32_intdigest(word, 42)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, 42)
         return h
 
 
@@ -62,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a line that holds words: doc, line, set (hash), n, tokens (sorted 32-bit hashes, little-endian).
+    """One row a line that holds words: doc, line, set (hash), n, tokens (sorted 64-bit hashes, little-endian).
 
     A set repeated within the task has null tokens after its first line.
     """
@@ -83,18 +84,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = _Tokens()
             if not doc:
                 continue
-            key = np.unique((np.repeat(np.arange(len(lens), dtype=_U), lens) << _U(32)) | flat)
-            at, tok = (key >> _U(32)).astype(np.int64), key & _U(0xFFFFFFFF)
+            values, nth = np.unique(flat, return_inverse=True)
+            key = np.unique((np.repeat(np.arange(len(lens), dtype=_U), lens) << _U(32)) | nth.astype(_U))
+            at, tok = (key >> _U(32)).astype(np.int64), values[(key & _U(0xFFFFFFFF)).astype(np.int64)]
             n = np.bincount(at, minlength=len(lens))
             start = np.cumsum(n) - n
             sets = (np.add.reduceat(_mix(tok + _U(1)), start) + _mix(n.astype(_U))).view(np.int64)
-            body = tok.astype("<u4").tobytes()
+            body = tok.astype("<u8").tobytes()
             out = []
             for j, (s, a, b) in enumerate(zip(sets.tolist(), start.tolist(), (start + n).tolist())):
                 if s in seen:
                     out.append(None)
                 else:
-                    out.append(body[4 * a : 4 * b])
+                    out.append(body[8 * a : 8 * b])
                     if len(seen) < 2 * WORDS_HELD:
                         seen.add(s)
             yield pa.record_batch([pa.array(np.array(doc, np.int64)), pa.array(np.array(line, np.int32)), pa.array(sets), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], names=["doc", "line", "set", "n", "tokens"])
@@ -102,7 +104,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _flat(col: pa.Array) -> np.ndarray:
     """All tokens of a binary column without nulls, as one array."""
-    return np.frombuffer(b"".join(col.to_pylist()), "<u4")
+    return np.frombuffer(b"".join(col.to_pylist()), "<u8")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +184,10 @@ def _prefixes(sets: DataFrame, frequency: np.ndarray, threshold: float) -> DataF
                 if not len(n):
                     continue
                 sk = sketches(tok, common, n, start)
-                key = np.sort((at.astype(_U) << _U(50)) | (rank[(tok % _U(BUCKETS)).astype(np.int64)] << _U(32)) | tok)
+                key = np.sort((at.astype(_U) << _U(50)) | (rank[(tok % _U(BUCKETS)).astype(np.int64)] << _U(32)) | (tok & _U(0xFFFFFFFF)))
                 pos = np.arange(len(key)) - np.repeat(start, n)
-                keep = np.flatnonzero(pos < np.repeat(prefix_size(n, threshold), n))
+                fresh = np.r_[True, np.diff(key) != 0]  # tokens alike in 32 bits meet others as one, at the first's place
+                keep = np.flatnonzero(fresh & (pos < np.repeat(prefix_size(n, threshold), n)))
                 at, pos = at[keep], pos[keep]
                 token = (key[keep] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 cols = {"token": token, "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), **{f"s{k}": x[at].view(np.int64) for k, x in enumerate(sk)}, "doc": batch["doc"].to_numpy()[at], "line": batch["line"].to_numpy()[at]}
@@ -310,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             ok = []
             for a, b in zip(batch["tokens"].to_pylist(), batch["tokens2"].to_pylist()):
-                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
             at = np.flatnonzero(ok)
@@ -328,6 +331,7 @@ def similar_later(sets: DataFrame, threshold: float) -> DataFrame:
     more = written(close.where("doc2 is null").select("doc", "line").distinct().join(_small(found), ["doc", "line"], "left_anti"), "unsettled")
     if more.isEmpty():
         return found
+    sets.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files of the first round
     asked = sets.join(_small(more.withColumn("ask", F.lit(True))), ["doc", "line"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
     pairs = written(rows(asked).mapInArrow(lambda b: _meet(b, threshold, None), _CANDIDATE).distinct(), "all-candidates")
     return found.unionByName(_verified(pairs, sets, threshold)).distinct()

@@ -404,6 +404,21 @@ def test_line_dedup_of_rows_out_of_order(spark):
         assert lines_got(spark.createDataFrame(own, "doc_id long, text string").coalesce(1)) == lines_want(own)
 
 
+def test_line_dedup_of_words_alike_in_32_bits(spark):
+    """Different words with one xxh32 value, and words whose tokens end in the same 32 bits."""
+    import xxhash
+
+    def alike(digest):
+        seen = {}
+        for i in range(1_000_000):
+            seen.setdefault(digest(f"w{i}".encode()) & 0xFFFFFFFF, []).append(f"w{i}")
+        return next(x for x in seen.values() if len(x) > 1)
+
+    (a, b), (c, d) = alike(lambda w: xxhash.xxh32_intdigest(w, 42))[:2], alike(lambda w: linededup._Tokens()[w])[:2]
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, f"{c} {d}"), (6, f"{c} {d} e f g"), (7, f"{c} {d} e f g h"), (8, f"{d} {d} m n"), (9, f"{c} m n")]
+    assert lines_got(spark.createDataFrame(rows, "doc_id long, text string")) == lines_want(rows)
+
+
 def test_line_dedup_of_many_variants(spark, monkeypatch):
     """A large family of variants of a line and false candidates: more candidates than the first round takes."""
     rng = random.Random(4)
