@@ -38,6 +38,7 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 COMMON = 1000  # a token with more than one in so many occurrences is left out of the sketch
 WORDS_HELD = 200_000
+TOKENS_HELD = 1 << 18
 BROADCAST_ROWS = 1_000_000
 SMALL_GROUP = 512
 WIDE = 4  # most words of 64 bits in a sketch
@@ -56,7 +57,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
     return x ^ (x >> _U(33))
@@ -89,7 +90,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, tok = (key >> _U(32)).astype(np.int64), values[(key & _U(0xFFFFFFFF)).astype(np.int64)]
             n = np.bincount(at, minlength=len(lens))
             start = np.cumsum(n) - n
-            sets = (np.add.reduceat(_mix(tok + _U(1)), start) + _mix(n.astype(_U))).view(np.int64)
+            sets = (np.add.reduceat(mix(tok + _U(1)), start) + mix(n.astype(_U))).view(np.int64)
             body = tok.astype("<u8").tobytes()
             out = []
             for j, (s, a, b) in enumerate(zip(sets.tolist(), start.tolist(), (start + n).tolist())):
@@ -102,6 +103,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.array(doc, np.int64)), pa.array(np.array(line, np.int32)), pa.array(sets), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], names=["doc", "line", "set", "n", "tokens"])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of few rows and, but for a single set, of few tokens."""
+    end, i = np.cumsum(batch["n"].to_numpy().astype(np.int64)), 0
+    while i < len(end):
+        most = (end[i - 1] if i else 0) + TOKENS_HELD
+        j = min(i + 4096, max(i + 1, int(np.searchsorted(end, most, side="right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _flat(col: pa.Array) -> np.ndarray:
     """All tokens of a binary column without nulls, as one array."""
     return np.frombuffer(b"".join(col.to_pylist()), "<u8")
@@ -110,7 +121,8 @@ def _flat(col: pa.Array) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        held += np.bincount(_flat(batch["tokens"]) % BUCKETS, minlength=BUCKETS)
+        for part in _slices(batch):
+            held += np.bincount(_flat(part["tokens"]) % BUCKETS, minlength=BUCKETS)
     for i in range(0, BUCKETS, CHUNK):
         if held[i : i + CHUNK].any():
             yield pa.record_batch([pa.array([i // CHUNK], pa.int32()), pa.array([held[i : i + CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
@@ -128,7 +140,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hashed_frequencies(sets: DataFrame) -> np.ndarray:
     """Occurrences by bucket of the tokens of all sets; BUCKETS numbers, whatever the input."""
     kind = "chunk int, counts binary"
-    rows = sets.select("tokens").mapInArrow(_frequencies, kind).repartition("chunk").mapInArrow(_summed, kind).toArrow()
+    rows = sets.select("n", "tokens").mapInArrow(_frequencies, kind).repartition("chunk").mapInArrow(_summed, kind).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     for c, b in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
         out[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(b, np.int64)
@@ -138,7 +150,7 @@ def hashed_frequencies(sets: DataFrame) -> np.ndarray:
 def sketches(tok: np.ndarray, common: np.ndarray, n: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     """WIDE words a set: token bits in the first 1, 2 or 4 words by the set's size, so that a wider sketch folds onto a narrower one."""
     width = np.repeat(_width(n), n).astype(_U)
-    h = _mix(tok)
+    h = mix(tok)
     bit = np.where(common[(tok % _U(BUCKETS)).astype(np.int64)], _U(0), _U(1) << (h & _U(63)))
     word = (h >> _U(6)) % width
     return [np.bitwise_or.reduceat(np.where(word == _U(k), bit, _U(0)), start) for k in range(WIDE)]
@@ -176,8 +188,7 @@ def _prefixes(sets: DataFrame, frequency: np.ndarray, threshold: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, common = held.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 4096):
-                batch = whole.slice(i, 4096)
+            for batch in _slices(whole):
                 n, tok = batch["n"].to_numpy().astype(np.int64), _flat(batch["tokens"]).astype(_U)
                 at = np.repeat(np.arange(len(n)), n)
                 start = np.cumsum(n) - n
@@ -350,6 +361,11 @@ def keyed(docs: DataFrame, id_col: str) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all lines with words: doc, line, set, n; those of them to remove: doc, line) of documents with __doc."""
     lines = written(docs.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_sets, f"{_LINE}, tokens binary"), "line-sets")
+    return lines, removed_sets(lines, threshold)
+
+
+def removed_sets(lines: DataFrame, threshold: float) -> DataFrame:
+    """(doc, line) of the rows of `lines` (doc, line, set, n, tokens) that repeat or match an earlier set; of rows of one set, one at least has tokens."""
     place = F.struct("doc", "line")
     bearer = F.min(F.when(F.col("tokens").isNotNull(), place)).alias("b")  # not the first line if its task read a later one before it
     first = lines.groupBy("set").agg(F.min(place).alias("f"), bearer).select("set", F.col("f.doc").alias("fd"), F.col("f.line").alias("fl"), F.col("b.doc").alias("bd"), F.col("b.line").alias("bl"))
@@ -361,7 +377,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     sets = own.where("held is null or fd is not null").select(F.coalesce("fd", "doc").alias("doc"), F.coalesce("fl", "line").alias("line"), "n", "tokens")
     similar = similar_later(sets, threshold)
     repeats = repeats.select("doc", "line")
-    return lines, written(repeats.unionByName(similar).distinct(), "removed-lines")
+    return written(repeats.unionByName(similar).distinct(), "removed-lines")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

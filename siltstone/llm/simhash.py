@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .components import components
+from .linededup import keyed, mix, removed_sets
 
 SEED = 42
 SEGMENTS = 6
@@ -41,20 +42,25 @@ _MASK = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGE, _EDGE[1:])]
 _PAIRS = sorted({tuple(sorted((i, (i + d) % SEGMENTS))) for i in range(SEGMENTS) for d in (1, 2, 3)})
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """SimHash of the XXH64 values of the word shingles, as an unsigned integer."""
+def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of the word shingles in order; a shorter text is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, _U)
     joined = b" ".join(words)
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])]
-    h = np.array(hashes, _U)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], _U)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])], _U)
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """SimHash of the word shingles, as an unsigned integer."""
+    h = shingles(text, width)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -173,3 +179,27 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id
     """`docs` with one document of each component: that of the least id. Rows without an id are kept."""
     gone = near_duplicates(docs, width, max_bits, id_col).where("id <> component").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            batch = whole.slice(i, 256)
+            sets = [np.unique(shingles(t, width)) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            at = np.flatnonzero([len(s) for s in sets])
+            keys = np.array([(mix(sets[j] + _U(1)).sum() + mix(np.array([len(sets[j])], _U)))[0] for j in at], _U)
+            cols = [pa.array(batch["doc"].to_numpy()[at]), pa.array(np.zeros(len(at), np.int32)), pa.array(keys.view(np.int64)), pa.array([len(sets[j]) for j in at], pa.int32()), pa.array([sets[j].astype("<u8").tobytes() for j in at], pa.binary())]
+            yield pa.record_batch(cols, names=["doc", "line", "set", "n", "tokens"])
+
+
+def drop_similar(docs: DataFrame, width: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose set of shingles has a Jaccard similarity of `threshold` or more to that of an earlier row.
+
+    Earlier means a smaller id; rows without an id come first, repeats in order of text. The join is the exact one of the line
+    dedup, on shingles instead of words. Rows without words stay.
+    """
+    own = keyed(docs, id_col)
+    texts = own.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = written(texts.mapInArrow(lambda b: _shingle_sets(b, width), "doc long, line int, set long, n int, tokens binary"), "shingle-sets")
+    gone = removed_sets(sets, threshold).select(F.col("doc").alias("__gone"))
+    return own.join(gone, F.col("__doc") == F.col("__gone"), "left_anti").drop("__doc")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -31,6 +32,25 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_near_dedup_of_edited_copies(spark):
+    """No text is left that shares 0.8 or more of their five-word shingles with an earlier one, and the join removes no other."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        rows.append((i, " ".join(words)))
+        for c, edits in enumerate((1, len(words) // 60, len(words) // 30)):
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((100 * (c + 1) + i, " ".join(words)))
+    cut = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in sorted(rows) for w in [t.split()]]
+    gone = {i for k, (i, s) in enumerate(cut) if any(len(s & o) >= 0.8 * len(s | o) for _, o in cut[:k])}
+    assert 30 < len(gone) < 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not gone & {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert {r.doc_id for r in simhash.drop_similar(docs, 5, 0.8).collect()} == {i for i, _ in rows} - gone
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
