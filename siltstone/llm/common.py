@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_scopes: list[list[str]] = []  # paths written within each open `scratch`
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,38 +22,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Where the session names none, a temporary folder is set if everything runs on one machine (as in tests); on a
+    cluster that is an error, since each machine would write to a folder of its own.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not jdir.isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return jdir.get().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
 
-    The files survive lost executors and are read by whichever executor needs them. They stay until
-    `clean_scratch` is called, because the returned frame is lazy.
+    The files survive lost executors and are read by whichever executor needs them. They stay until `discard` or
+    the end of a `scratch` around the call, because the returned frame is lazy.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table below the shared folder. Results that were not saved are lost."""
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siltstone")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that `written` returned and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written within. Save results outside of it, or before it ends, elsewhere."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            delete(spark, path)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -57,7 +85,28 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def first_column(df: DataFrame, want: str) -> Column:
-    """Column `want` even where extra columns clash with it by case: the exact name wins."""
-    exact = [c for c in df.columns if c == want]
-    return F.col(f"`{(exact or [want])[0]}`")
+def place(df: DataFrame, name: str) -> int:
+    """Position of the column `name`: the one spelled so, else the only one that differs in case alone."""
+    for alike in ([i for i, c in enumerate(df.columns) if c == name], [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]):
+        if len(alike) == 1:
+            return alike[0]
+        if alike:
+            break
+    raise ValueError(f"{len(alike)} columns are named {name}")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ..: no name of the caller can clash with one of ours, or with another by case."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """The columns `names` (ours = the caller's), whatever else `df` holds."""
+    return numbered(df).select(*[F.col(f"c{place(df, theirs)}").alias(ours) for ours, theirs in names.items()])
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame, nulls_too: bool = False) -> DataFrame:
+    """`df` without the rows whose id is in the one column of `gone`; rows without an id stay unless `nulls_too`."""
+    key = F.col(f"c{place(df, id_col)}")
+    bad = gone.toDF("gone")
+    return numbered(df).join(bad, key.eqNullSafe(F.col("gone")) if nulls_too else key == F.col("gone"), "left_anti").toDF(*df.columns)
