@@ -1,24 +1,36 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A fingerprint of 64 bits is cut into a ring of `SEGMENTS` segments. If two fingerprints differ in at most t
-bits, then by the pigeonring principle some start exists from which every chain of l consecutive segments
-differs in at most l * t / SEGMENTS bits. For t = 4 and 6 segments the chain's first segment is equal
-(budget 0), and of the next three, which together with it may differ in 2 bits, one at least is equal too.
-So two equal segments, one the start of the chain, are the key that finds candidates: 15 pairs of segments.
-Candidates whose chains all break a budget are pruned before the full Hamming check.
-
-Copies are reduced to distinct fingerprints first. Within a key the links are found by a search from each
-fingerprint to those not yet reached, and only a spanning forest is kept: as many links as fingerprints at
-most, however large the group, with the same components.
-
-A null or empty text has no words: fingerprint 0, linked like any other. A null id is kept; a component of
-null ids alone has a null id. Repeated rows give repeated results. Extra columns are ignored.
+A fingerprint is cut into a ring of segments. If two fingerprints differ in at most t bits, then by the pigeonring
+principle some start exists from which every chain of l consecutive segments differs in at most l * t / segments
+bits. Candidates are walked chain by chain and dropped as soon as no start is left, before the full Hamming check.
+
+Two forms:
+
+`near_duplicates`: 64-bit fingerprints of word shingles, linked at up to `MAX_BITS` bits, exactly. Of m segments
+m - MAX_BITS at least are equal, so these are the keys that find candidates; m grows with the number of fingerprints
+(6, 7, 8, ..), so that fingerprints meet by chance only a few at a time.
+
+`similar_groups`: texts whose word shingles have a Jaccard similarity of `jaccard` or more. 64 bits cannot tell these
+apart from others (at 0.8 a pair differs in 15 % of its bits), so fingerprints have 256 bits, link at up to 56, and
+are found by keys of sampled bits: enough keys that a pair at the threshold meets with probability `RECALL`,
+more similar ones with a higher one. Links are then checked on the shingle sets themselves, so that no pair below the
+threshold counts; links inside a group that is connected already need no check.
+
+Copies are reduced to distinct fingerprints or shingle sets first. Within a large key the links are found by a search
+from each fingerprint to those not yet reached, and only a spanning forest is kept: as many links as fingerprints at
+most. In `similar_groups` a key under which more than `GROUP` fingerprints meet is dealt out in random blocks, and
+what the blocks connect goes on as one.
+
+A null or empty text has no words: fingerprint 0, the empty set, linked like any other. A null id is kept; a component
+of null ids alone has a null id. Repeated rows give repeated results. Extra columns are ignored. No rows: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +38,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from . import meeting
+from .common import discard, pick, place, table, without, written
 from .components import components
-from .linededup import keyed, mix, removed_sets
+from .linededup import jaccard, keyed, set_keys
+from .words import buffers, distinct, mix, word_hashes
 
 SEED = 42
-SEGMENTS = 6
+SEGMENTS = 6  # at least
 MAX_BITS = 4
 SHINGLE = 4
 
+WIDE, WIDE_BITS = 4, 56  # words of 64 bits in a ring of 16-bit segments; bits that may differ (of a pair at 0.8, 39 do on average, 6 the deviation)
+SIMILAR, NEAR_WORDS = 0.8, 5
+RECALL = 0.99
+MEET = 32  # fingerprints that share a key by chance, about
+ALL_PAIRS = 32
+GROUP = 8192
+
 _U = np.uint64
-_EDGE = [round(i * 64 / SEGMENTS) for i in range(SEGMENTS + 1)]
-_MASK = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGE, _EDGE[1:])]
-# Pairs (start, other) of ring segments within the reach of the chain whose budget is 2.
-_PAIRS = sorted({tuple(sorted((i, (i + d) % SEGMENTS))) for i in range(SEGMENTS) for d in (1, 2, 3)})
+
+
+@cache
+def _masks(segments: int) -> list[int]:
+    edge = [round(i * 64 / segments) for i in range(segments + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:])]
 
 
 def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -70,53 +93,65 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for each row; fp is the fingerprint as a signed long."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    own = pick(docs, id=id_col, text=text_col)
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, width) for t in batch["text"].cast(pa.binary()).to_pylist()), _U, batch.num_rows)
             yield pa.record_batch([batch["id"], pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return own.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+
+
+def walk(b: np.ndarray, most: int) -> np.ndarray:
+    """Rows of `b` (differing bits by segment) with a start from which all chains keep to their share of `most`."""
+    n, m = b.shape
+    rows, run, out = np.arange(n), b, np.zeros(n, bool)
+    alive = run * m <= most
+    for length in range(2, m + 1):
+        keep = alive.any(axis=1)
+        if not keep.all():
+            rows, run, alive, b = rows[keep], run[keep], alive[keep], b[keep]
+        if not len(rows):
+            return out
+        run = run + np.roll(b, 1 - length, axis=1)
+        alive &= run * m <= most * length
+    out[rows[alive.any(axis=1)]] = True
+    return out
 
 
-def chain_holds(x: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+def chain_holds(x: np.ndarray, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> np.ndarray:
     """Whether from some start all chains of segments of the difference `x` keep to their budgets."""
-    b = [np.bitwise_count(x & _U(m)).astype(np.int16) for m in _MASK]
-    any_ = np.zeros(len(x), bool)
-    for start in range(SEGMENTS):
-        held, run = np.ones(len(x), bool), np.zeros(len(x), np.int16)
-        for n in range(1, SEGMENTS + 1):
-            run = run + b[(start + n - 1) % SEGMENTS]
-            held &= run * SEGMENTS <= max_bits * n
-        any_ |= held
-    return any_
-
-
-def _near(a: np.ndarray, b: np.ndarray | np.uint64, max_bits: int) -> np.ndarray:
+    return walk(np.stack([np.bitwise_count(x & _U(m)) for m in _masks(segments)], axis=1).astype(np.int16), max_bits)
+
+
+def _near(a: np.ndarray, b: np.ndarray | np.uint64, max_bits: int, segments: int = SEGMENTS) -> np.ndarray:
     """Indices where a and b link: the chains first, then all bits."""
     x = a ^ b
-    at = np.flatnonzero(chain_holds(x, max_bits))
+    at = np.flatnonzero(chain_holds(x, max_bits, segments))
     return at[np.bitwise_count(x[at]) <= max_bits]
 
 
-def spanning_links(group: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links within `group` (distinct fingerprints)."""
-    out, left = [], group
+def forest(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a spanning forest over 0..n-1; near(i, rest) gives the places in `rest` that link to i."""
+    out, left = [], np.arange(n)
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        front, left = [int(left[0])], left[1:]
         while front and len(left):
-            x = front.pop()
-            at = _near(left, x, max_bits)
+            i = front.pop()
+            at = near(i, left)
             if len(at):
                 got = left[at]
-                out.append((np.full(len(got), x), got))
-                front.extend(got)
+                out.append((np.full(len(got), i), got))
+                front.extend(got.tolist())
                 left = np.delete(left, at)
-    return out
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], max_bits: int, segments: int) -> Iterator[pa.RecordBatch]:
     """Links within each key of rows sorted by (k, key); a group may span batches."""
 
     def out(a, b):
@@ -139,25 +174,35 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         two = edge[:-1][size == 2]
         if len(two):
             x, y = fp[two].view(_U), fp[two + 1].view(_U)
-            at = _near(x, y, max_bits)
+            at = _near(x, y, max_bits, segments)
             a.append(x[at])
             b.append(y[at])
         for i in np.flatnonzero(size > 2):
-            for x, y in spanning_links(fp[edge[i] : edge[i + 1]].view(_U), max_bits):
-                a.append(x)
-                b.append(y)
+            own = fp[edge[i] : edge[i + 1]].view(_U)
+            x, y = forest(len(own), lambda j, rest, own=own: _near(own[rest], own[j], max_bits, segments))
+            a.append(own[x])
+            b.append(own[y])
         if a and sum(map(len, a)):
             yield out(a, b)
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v): links of at most `max_bits` bits that connect what all such links connect. `distinct` has fp, without repeats."""
+def segments_for(n: int) -> int:
+    """Segments of the ring for n distinct fingerprints: equal ones hold log2(n) bits but for five."""
+    m = SEGMENTS
+    while 64 * (m - MAX_BITS) / m < math.log2(max(2, n)) - 5:
+        m += 1
+    return m
+
+
+def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+    """(u, v): links of at most `max_bits` bits that connect what all such links connect. `distinct_fps` has fp, without repeats."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the chain keys hold up to {MAX_BITS} bits")
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(_MASK[i] | _MASK[j]))).alias("key")) for k, (i, j) in enumerate(_PAIRS)])).alias("e")
-    rows = distinct.select("fp", keys).select(F.col("e.k").alias("k"), F.col("e.key").alias("key"), "fp").repartition("k", "key").sortWithinPartitions("k", "key", "fp")
-    return rows.mapInArrow(lambda batches: _links(batches, max_bits), "u long, v long")
+    m = segments or segments_for(distinct_fps.count())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(sum(own)))).alias("key")) for k, own in enumerate(combinations(_masks(m), m - MAX_BITS))])).alias("e")
+    rows = distinct_fps.select("fp", keys).select(F.col("e.k").alias("k"), F.col("e.key").alias("key"), "fp").repartition("k", "key").sortWithinPartitions("k", "key", "fp")
+    return rows.mapInArrow(lambda batches: _links(batches, max_bits, m), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,31 +220,244 @@ def op2_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component: that of the least id. Rows without an id are kept."""
-    gone = near_duplicates(docs, width, max_bits, id_col).where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, width, max_bits, id_col, text_col).where("id <> component").select("id").distinct())
+
+
+# --- similarity of shingle sets ------------------------------------------------------------------------------------
+
+_NODE = np.dtype([("key", "<u8"), ("node", "<i8")] + [(f"f{k}", "<u8") for k in range(WIDE)])
+_FPS = [f"f{k}" for k in range(WIDE)]
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct word shingles of each text, sorted by text; fewer words than `width` are one shingle."""
+    h, text, _, _ = word_hashes(texts)
+    n = np.bincount(text, minlength=len(texts))
+    end = np.cumsum(n)[text] if len(h) else np.zeros(0, np.int64)
+    at = np.arange(len(h))
+    first = np.r_[True, text[1:] != text[:-1]] if len(h) else np.zeros(0, bool)
+    at = at[(at + width <= end) | (first & (n[text] < width))]
+    x = np.zeros(len(at), _U)
+    for k in range(width):
+        inside = at + k < end[at]
+        x = np.where(inside, mix(x * _U(3) + h[np.minimum(at + k, max(0, len(h) - 1))]), x)
+    return distinct(text[at], x)
+
+
+def wide_fingerprints(group: np.ndarray, values: np.ndarray, n_groups: int) -> np.ndarray:
+    """(n_groups, WIDE) words: a bit is 1 if it is set in over half the values of a group."""
+    size = 8 * WIDE
+    out = np.zeros((n_groups, WIDE), _U)
+    edge = np.searchsorted(group, np.arange(n_groups + 1))
+    a = 0
+    while a < n_groups:  # groups of bounded size together
+        b = max(a + 1, min(a + 256, int(np.searchsorted(edge, edge[a] + (1 << 17), side="right")) - 1))
+        counts = np.zeros(((b - a) * size, 256), np.int64)
+        for i in range(edge[a], edge[b], 1 << 17):
+            v = values[i : min(edge[b], i + (1 << 17))]
+            words = np.stack([mix(v + _U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(WIDE)], axis=1)
+            place_ = ((group[i : i + len(v)] - a)[:, None] * size + np.arange(size)) * 256 + words.view(np.uint8)
+            counts += np.bincount(place_.ravel(), minlength=counts.size).reshape(counts.shape)
+        ones = (counts.astype(np.float32) @ _BITS).reshape(b - a, 64 * WIDE)
+        out[a:b] = np.packbits(2 * ones > np.diff(edge[a : b + 1])[:, None], axis=1, bitorder="little").view(_U)
+        a = b
+    return out
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 256):
-            batch = whole.slice(i, 256)
-            sets = [np.unique(shingles(t, width)) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            at = np.flatnonzero([len(s) for s in sets])
-            keys = np.array([(mix(sets[j] + _U(1)).sum() + mix(np.array([len(sets[j])], _U)))[0] for j in at], _U)
-            cols = [pa.array(batch["doc"].to_numpy()[at]), pa.array(np.zeros(len(at), np.int32)), pa.array(keys.view(np.int64)), pa.array([len(sets[j]) for j in at], pa.int32()), pa.array([sets[j].astype("<u8").tobytes() for j in at], pa.binary())]
-            yield pa.record_batch(cols, names=["doc", "line", "set", "n", "tokens"])
+def _sets_and_fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, texts = batch["doc"].to_numpy(), batch["text"].cast(pa.binary()).to_pylist()
+        for i, j in buffers(texts):
+            group, values = shingle_sets(texts[i:j], width)
+            fps = wide_fingerprints(group, values, j - i)
+            n = np.bincount(group, minlength=j - i)
+            s = np.zeros((2, j - i), np.int64)
+            some = np.flatnonzero(n)
+            if len(some):
+                s[:, some] = set_keys(values, n[some], (np.cumsum(n) - n)[some])
+            yield pa.record_batch([pa.array(docs[i:j]), pa.array(s[0]), pa.array(s[1]), *[pa.array(fps[:, k].view(np.int64)) for k in range(WIDE)]], names=["doc", "s0", "s1", *_FPS])
+
+
+def key_plan(nodes: int, jaccard_: float = SIMILAR) -> tuple[int, int]:
+    """(bits of a key, keys): about MEET of the nodes share a key by chance, and a pair at the threshold shares one with probability RECALL."""
+    bits = max(8, math.ceil(math.log2(max(1, nodes) / MEET)) if nodes > MEET else 8)
+    equal = 1 - math.acos(2 * jaccard_ / (1 + jaccard_)) / math.pi
+    return bits, math.ceil(-math.log(1 - RECALL) / equal**bits)
+
+
+def _key_masks(bits: int, keys: int) -> np.ndarray:
+    """(keys, WIDE) words with `bits` random bits set, the same in every run."""
+    rng = np.random.default_rng(SEED)
+    on = np.zeros((keys, 64 * WIDE), np.uint8)
+    for row in on:
+        row[rng.choice(64 * WIDE, bits, replace=False)] = 1
+    return np.packbits(on, axis=1, bitorder="little").view(_U)
+
+
+def _wide_near(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows link: the chains first, then all bits."""
+    x = rows[i] ^ rows[j]
+    b = np.bitwise_count(x.view(np.uint16)).astype(np.int16)
+    at = np.flatnonzero(walk(b, WIDE_BITS))
+    return at[b[at].sum(axis=1) <= WIDE_BITS]
+
+
+def _wide_links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links within each key: all of a small group, a spanning forest of a larger one."""
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    fps, node, key = np.stack([rows[f] for f in _FPS], axis=1), rows["node"], rows["key"]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    size = np.diff(edge)
+    a, b = [], []
+    small = np.repeat(size <= ALL_PAIRS, size)
+    left = np.repeat(edge[1:], size) - np.arange(len(rows)) - 1
+    at, step = np.flatnonzero(small & (left > 0)), 1
+    while len(at):
+        for c in range(0, len(at), 1 << 17):
+            i = at[c : c + (1 << 17)]
+            near = i[_wide_near(fps, i, i + step)]
+            a.append(near)
+            b.append(near + step)
+        step += 1
+        at = at[left[at] >= step]
+    for g in np.flatnonzero(size > ALL_PAIRS).tolist():
+        first = edge[g]
+        own = fps[first : edge[g + 1]]
+        x, y = forest(len(own), lambda i, rest, own=own: _wide_near(own, np.full(len(rest), i), rest))
+        a.append(first + x)
+        b.append(first + y)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    if len(u):
+        u, v = node[u], node[v]
+        yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "c"])
+
+
+def _refused(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(count)], names=["u", "v", "c"])
+
+
+def _wide_round(nodes: DataFrame, plan: tuple[int, int], hot: tuple[np.ndarray, np.ndarray] | None, seed: int, records: int) -> DataFrame:
+    """Links (u, v) of `nodes`, and keys refused (u, c); with `hot` of these keys only, in random blocks."""
+    spark = nodes.sparkSession
+    held, n_parts, group = spark.sparkContext.broadcast((_key_masks(*plan), hot)), meeting.parts(spark, records), GROUP
+
+    def records_(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        masks, hot = held.value
+        node, fps = batch["node"].to_numpy(), [batch[f].to_numpy().view(_U) for f in _FPS]
+        for t, mask in enumerate(masks):
+            key, at = np.full(len(node), t, _U), np.arange(len(node))
+            for f, m in zip(fps, mask):
+                key = mix(key * _U(3) + (f & m))
+            if hot is not None:
+                spot = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
+                at = np.flatnonzero(hot[0][spot] == key)
+                blocks = (-(-hot[1][spot[at]] // group)).astype(_U)
+                key = mix(key[at] + _U(0x9E3779B97F4A7C15) * (mix(node[at].astype(_U) + _U(seed)) % blocks + _U(1)))
+            rows = np.empty(len(at), _NODE)
+            rows["key"], rows["node"] = key, node[at]
+            for name, f in zip(_FPS, fps):
+                rows[name] = f[at]
+            yield rows
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meeting.pack((rows for batch in batches for rows in records_(batch)), n_parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meeting.meet(batches, _NODE, group if hot is None else None, _wide_links, _refused)
+
+    return meeting.deal(nodes.select("node", *_FPS).mapInArrow(send, meeting.SENT)).mapInArrow(meet, "u long, v long, c long")
+
+
+def wide_links(nodes: DataFrame, jaccard_: float = SIMILAR) -> DataFrame:
+    """(u, v): links of nodes (node, f0..) whose fingerprints differ in at most WIDE_BITS bits, u < v."""
+    n = nodes.count()
+    plan, links, hot, seed = key_plan(n, jaccard_), [], None, 0
+    records = n * plan[1]
+    while True:
+        out = written(_wide_round(nodes, plan, hot, seed, records), "wide-links")
+        links.append(out.where("v is not null").select("u", "v"))
+        got = out.where("v is null").groupBy("u").agg(F.sum("c").alias("c")).toArrow() if hot is None else None
+        if hot is None and not len(got):
+            break
+        if hot is None:
+            key = got["u"].to_numpy().view(_U)
+            order = np.argsort(key)
+            hot = key[order], got["c"].to_numpy()[order]
+        elif hot[1].max() <= GROUP:
+            break
+        else:
+            # what is connected goes on as one: the keys keep as many nodes as have no link to a smaller one
+            nodes = written(nodes.join(out.where("v is not null").select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "wide-roots")
+            before, hot, seed = n, (hot[0], np.maximum(1, hot[1] * nodes.count() // max(1, n))), seed + 1
+            n = nodes.count()
+            if n > 0.9 * before:
+                break
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    return written(every.distinct(), "links")
+
+
+def _checked(links: DataFrame, bodies: DataFrame, jaccard_: float) -> DataFrame:
+    """The links whose shingle sets are similar."""
+    both = links.join(bodies.toDF("u", "a"), "u").join(bodies.toDF("v", "b"), "v").select("u", "v", "a", "b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                at = np.flatnonzero(jaccard(batch["a"], batch["b"]) >= jaccard_ - 1e-9)
+                yield pa.record_batch([pa.array(batch["u"].to_numpy()[at]), pa.array(batch["v"].to_numpy()[at])], names=["u", "v"])
+
+    return written(both.mapInArrow(run, "u long, v long"), "checked")
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch["text"].cast(pa.binary()).to_pylist()
+        for i, j in buffers(texts):
+            group, values = shingle_sets(texts[i:j], width)
+            edge, data = (8 * np.searchsorted(group, np.arange(j - i + 1))).tolist(), values.astype("<u8").tobytes()
+            yield pa.record_batch([batch["doc"][i:j], pa.array([data[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc", "body"])
+
+
+def _similar(own: DataFrame, width: int, jaccard_: float) -> DataFrame:
+    """(doc, root) of rows (doc, text): root is the least doc of the group."""
+    own = own.select("doc", F.col("text").cast("string").alias("text"))
+    kinds = "doc long, s0 long, s1 long, " + ", ".join(f"{f} long" for f in _FPS)
+    sets = written(own.mapInArrow(lambda b: _sets_and_fingerprints(b, width), kinds), "shingle-sets")
+    nodes = written(sets.groupBy("s0", "s1").agg(F.min("doc").alias("node"), *[F.min(f).alias(f) for f in _FPS]), "set-nodes")
+    links = wide_links(nodes.select("node", *_FPS), jaccard_)
+    ends = links.select(F.col("u").alias("doc")).unionByName(links.select(F.col("v").alias("doc"))).distinct()
+    bodies = written(own.join(ends, "doc", "left_semi").mapInArrow(lambda b: _bodies(b, width), "doc long, body binary"), "bodies")
+    # one link a node first; then only those between groups that are not connected yet
+    first = _checked(links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), bodies, jaccard_)
+    root = lambda roots, c: roots.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+    roots = written(components(first), "roots")
+    apart = links.join(root(roots, "u"), "u", "left").join(root(roots, "v"), "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
+    rest = _checked(apart, bodies, jaccard_)
+    if not rest.isEmpty():
+        roots = written(components(first.unionByName(rest)), "roots")
+    discard(bodies)
+    rooted = nodes.join(roots, F.col("node") == F.col("u"), "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    return sets.select("doc", "s0", "s1").join(rooted, ["s0", "s1"]).select("doc", "root")
+
+
+def similar_groups(docs: DataFrame, width: int = NEAR_WORDS, jaccard_: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) for each row of `docs`; component is the id of the group's first row (by id, nulls first; repeats by text)."""
+    own = keyed(docs, id_col)
+    id_, text = f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
+    groups = written(_similar(own.select("doc", F.col(text).alias("text")), width, jaccard_), "groups")
+    ids = own.select("doc", F.col(id_).alias("id"))
+    return groups.join(ids, "doc").join(ids.toDF("root", "component"), "root").select("id", "component")
 
-def drop_similar(docs: DataFrame, width: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose set of shingles has a Jaccard similarity of `threshold` or more to that of an earlier row.
 
-    Earlier means a smaller id; rows without an id come first, repeats in order of text. The join is the exact one of the line
-    dedup, on shingles instead of words. Rows without words stay.
-    """
+def keep_one_similar(docs: DataFrame, width: int = NEAR_WORDS, jaccard_: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the first row (by id, nulls first; repeats by text) of each group of similar texts."""
     own = keyed(docs, id_col)
-    texts = own.select(F.col("__doc").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = written(texts.mapInArrow(lambda b: _shingle_sets(b, width), "doc long, line int, set long, n int, tokens binary"), "shingle-sets")
-    gone = removed_sets(sets, threshold).select(F.col("doc").alias("__gone"))
-    return own.join(gone, F.col("__doc") == F.col("__gone"), "left_anti").drop("__doc")
+    groups = _similar(own.select("doc", F.col(f"c{place(docs, text_col)}").alias("text")), width, jaccard_)
+    gone = written(groups.where("doc <> root").select(F.col("doc").alias("gone")), "similar")
+    return own.join(gone, F.col("doc") == F.col("gone"), "left_anti").drop("doc").toDF(*docs.columns)
