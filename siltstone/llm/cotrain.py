@@ -2,17 +2,19 @@
 
 Two views of a document: its text (byte classes, punctuation, word statistics, hashed words) and its metadata
 (language, source, stated length). Each view has a logistic classifier. Over `ROUNDS` rounds both are fitted
-to their labelled rows, each picks from a pool of unlabelled rows those it is surest of, good and bad in the
-labels' proportion, and hands them with its own label to the other. Then each view is calibrated on labelled
-rows kept apart, and the calibrated log-odds are added (less the prior's, counted twice) to score all documents.
+to their labelled rows and calibrated on labelled rows kept apart; each picks from all unlabelled documents those it
+is surest of, good and bad in the labels' proportion and only at a calibrated probability of `SURE` or more, and hands
+them with its own label to the other. A view that knows nothing is sure of nothing and hands over nothing. Then the
+calibrated log-odds of both are added (less the prior's, counted twice) to score all documents.
 
-Fitting takes at most `LABELLED` labelled and `POOL` unlabelled rows, the first by a hash of their id; only
-these rows' feature vectors, of fixed length, reach the driver. Scoring covers every document and its
-whole text.
+Every document's features are computed once, from its whole text, and written as 16-bit numbers (about 700 bytes a
+document before compression); rounds and scoring read these. Fitting takes at most `LABELLED` labelled documents, the
+first by a hash of their id, and `PICK` rows that a view hands over in a round; only these rows' vectors reach the
+driver. Ties in certainty go to the row that comes first.
 
 Labels: nulls are left out; an id with several labels takes their rounded mean. With no labels, or one kind
 only, nothing can be told apart and every document gets that kind's share, or 1, as its score. A null text is
-empty; null metadata is a value of its own. Null ids and repeated rows are scored like others. Missing
+empty; null metadata is a value of its own. Null ids and repeated rows are scored like others, each. Missing
 metadata columns count as null; extra columns are ignored. An empty table gives no rows.
 """
 
@@ -23,15 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, pick, place, table, without, written
 
 LABELLED = 10_000
-POOL = 10_000
 ROUNDS = 5
-PICK = 100  # rows that a view hands over in a round
+PICK = 400  # most rows that a view hands over in a round
+SURE = 0.95
+BROADCAST_ROWS = 1_000_000
 APART = 5  # one labelled row in so many is kept apart for calibration
 KEEP_AT = 0.5
 HASHED = 256
@@ -66,7 +69,7 @@ def text_features(text: bytes | None, buckets: _Buckets) -> np.ndarray:
     ids = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
     shares = np.bincount(ids, minlength=HASHED) / len(words)
     different = len(set(words))
-    out[at : at + 6] = np.log1p(len(words)) / 10, len(text) / len(words) / 20, different / len(words), shares.max(), len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)) / 10
+    out[at : at + 6] = np.log1p(len(words)) / 10, min(100.0, len(text) / len(words) / 20), different / len(words), shares.max(), len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)) / 10
     out[at + 6 :] = np.sqrt(shares)
     if len(buckets) > WORDS_HELD:
         buckets.clear()
@@ -83,19 +86,38 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 
 
 def _views(docs: DataFrame) -> DataFrame:
-    own = set(docs.columns)
-    meta = {"lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(
-        F.col("`doc_id`").cast("long").alias("doc_id"),
-        F.col("`text`").cast("string").alias("text"),
-        *[(F.col(f"`{c}`") if c in own else F.lit(None)).cast(k).alias(c) for c, k in meta.items()],
-    )
+    """doc_id, text, lang, source, n_chars; nulls for metadata that `docs` lacks."""
+    own, kinds, out = numbered(docs), {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}, []
+    for c, kind in kinds.items():
+        there = c in ("doc_id", "text") or c.lower() in [x.lower() for x in docs.columns]
+        out.append((F.col(f"c{place(docs, c)}") if there else F.lit(None)).cast(kind).alias(c))
+    return own.select(*out)
 
 
-def _matrices(batch: pa.RecordBatch, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    text = [text_features(t, buckets) for t in batch["text"].cast(pa.binary()).to_pylist()]
-    meta = [meta_features(*m) for m in zip(*(batch[c].to_pylist() for c in ("lang", "source", "n_chars")))]
-    return np.array(text, np.float32).reshape(-1, N_TEXT), np.array(meta, np.float32).reshape(-1, N_META)
+def matrices(texts: list[bytes | None], meta: list[tuple], buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both views, as 16-bit numbers."""
+    a = [text_features(t, buckets) for t in texts]
+    b = [meta_features(*m) for m in meta]
+    return np.array(a, np.float16).reshape(-1, N_TEXT), np.array(b, np.float16).reshape(-1, N_META)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, a, b) of every row, written: a number of its own and the features of both views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                meta = list(zip(*(batch[c].to_pylist() for c in ("lang", "source", "n_chars"))))
+                made = matrices(batch["text"].cast(pa.binary()).to_pylist(), meta, buckets)
+                yield pa.record_batch([batch["doc_id"], *[pa.array([r.tobytes() for r in m], pa.binary()) for m in made]], names=["doc_id", "a", "b"])
+
+    return written(_views(docs).mapInArrow(run, "doc_id long, a binary, b binary").withColumn("uid", F.monotonically_increasing_id()), "features")
+
+
+def _stacked(col, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,7 +160,78 @@ class CoTrained:
         return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(odds[0] + odds[1] - base)
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], apart: np.ndarray, rounds: int = ROUNDS, pick: int = PICK) -> CoTrained:
+def _calibrated(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) that turn the odds of a view into log-odds of labels it has not seen."""
+    slope, intercept = fit_logistic(_odds(w, x)[:, None], y.astype(float), ridge=1e-2)
+    return max(0.0, float(slope)), float(intercept)
+
+
+class ArrayPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.x = a, b
+
+    def surest(self, views: list, taken: list[set[int]], good: int, bad: int, sure: float) -> list[tuple[np.ndarray, ...]]:
+        """For each view (uids, labels, a, b) of the rows that it is surest of and has not handed over before."""
+        out = []
+        for v, (w, (slope, intercept)) in enumerate(views):
+            p = slope * _odds(w, self.x[v]) + intercept
+            bar, uid = np.log(sure / (1 - sure)), np.arange(len(p))
+            free = ~np.isin(uid, list(taken[v]))
+            up, down = (np.flatnonzero(free & (z >= bar)) for z in (p, -p))
+            up, down = up[np.lexsort((up, -p[up]))][:good], down[np.lexsort((down, p[down]))][:bad]
+            at = np.r_[down, up]
+            out.append((at, np.r_[np.zeros(len(down)), np.ones(len(up))], self.x[0][at], self.x[1][at]))
+        return out
+
+
+class FramePool:
+    """All unlabelled rows of a table of features."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def surest(self, views: list, taken: list[set[int]], good: int, bad: int, sure: float) -> list[tuple[np.ndarray, ...]]:
+        """The same; a task gives at most `good` + `bad` numbers a view, the first of all come from a ranked window."""
+        held = self.rows.sparkSession.sparkContext.broadcast((views, [np.array(sorted(t), np.int64) for t in taken]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, taken = held.value
+            bar = np.log(sure / (1 - sure))
+            best = {(v, y): (np.zeros(0, np.int64), np.zeros(0)) for v in (0, 1) for y in (0, 1)}
+            for whole in batches:
+                for i in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(i, 4096)
+                    uid = batch["uid"].to_numpy()
+                    for v, (w, (slope, intercept)) in enumerate(views):
+                        p = slope * _odds(w, _stacked(batch["ab"[v]], len(w) - 1)) + intercept
+                        free = ~np.isin(uid, taken[v])
+                        for y, z, most in ((0, -p, bad), (1, p, good)):
+                            at = np.flatnonzero(free & (z >= bar))
+                            own, score = np.r_[best[v, y][0], uid[at]], np.r_[best[v, y][1], z[at]]
+                            order = np.lexsort((own, -score))[:most]
+                            best[v, y] = own[order], score[order]
+            for (v, y), (own, score) in best.items():
+                if len(own):
+                    yield pa.record_batch([pa.array(own), pa.array(score), pa.array(np.full(len(own), v, np.int32)), pa.array(np.full(len(own), y, np.int32))], names=["uid", "z", "v", "y"])
+
+        first = Window.partitionBy("v", "y").orderBy(F.desc("z"), "uid")
+        tops = self.rows.select("uid", "a", "b").mapInArrow(run, "uid long, z double, v int, y int").withColumn("r", F.row_number().over(first))
+        got = tops.where((F.col("r") <= good) & (F.col("y") == 1) | (F.col("r") <= bad) & (F.col("y") == 0)).select("uid", "v", "y", "r").collect()  # at most 2 * (good + bad) rows
+        wanted = sorted({r["uid"] for r in got})
+        rows = self.rows.where(F.col("uid").isin(wanted)).select("uid", "a", "b").toArrow() if wanted else None
+        at = {u: i for i, u in enumerate(rows["uid"].to_pylist())} if rows is not None else {}
+        a, b = (_stacked(rows["ab"[v]], n) if rows is not None else np.zeros((0, n), np.float32) for v, n in ((0, N_TEXT), (1, N_META)))
+        out = []
+        for v in (0, 1):
+            own = sorted((r["y"], r["r"], r["uid"]) for r in got if r["v"] == v)
+            spot = [at[u] for _, _, u in own]
+            out.append((np.array([u for _, _, u in own], np.int64), np.array([y for y, _, _ in own], float), a[spot], b[spot]))
+        return out
+
+
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: ArrayPool | FramePool, apart: np.ndarray, rounds: int = ROUNDS, most: int = PICK, sure: float = SURE) -> CoTrained:
     """Fit both views on labelled rows `xs`, `y`, exchanging pseudo-labels on `pool`; rows `apart` only calibrate."""
     if not len(y) or y.min() == y.max():
         return CoTrained(None, float(y.mean()) if len(y) else 1.0)
@@ -149,82 +242,62 @@ def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nd
         train = ~apart
     prior = float(y[train].mean())
     own = [(xs[v][train], y[train].astype(float)) for v in (0, 1)]
-    left = [np.arange(len(pool[0])) for _ in (0, 1)]
-    good = max(1, round(pick * prior))
-    bad = max(1, pick - good)
-    weights = [fit_logistic(*own[v]) for v in (0, 1)]
+    good = max(1, round(most * prior))
+    bad = max(1, most - good)
+    fitted = lambda: [(w, _calibrated(w, xs[v][apart], y[apart])) for v in (0, 1) for w in [fit_logistic(*own[v])]]
+    views, taken = fitted(), [set(), set()]
     for _ in range(rounds):
-        given = []
+        given = pool.surest(views, taken, good, bad, sure)
+        if not any(len(g[0]) for g in given):
+            break
         for v in (0, 1):
-            if len(left[v]) < good + bad:
-                given.append(None)
-                continue
-            order = left[v][np.argsort(_odds(weights[v], pool[v][left[v]]), kind="stable")]
-            picked = np.r_[order[:bad], order[-good:]]
-            given.append((picked, np.r_[np.zeros(bad), np.ones(good)]))
-            left[v] = np.setdiff1d(left[v], picked)
-        for v, got in ((1, given[0]), (0, given[1])):
-            if got is not None:
-                own[v] = (np.concatenate([own[v][0], pool[v][got[0]]]), np.concatenate([own[v][1], got[1]]))
-        weights = [fit_logistic(*own[v]) for v in (0, 1)]
-    views = []
-    for v in (0, 1):
-        slope, intercept = fit_logistic(_odds(weights[v], xs[v][apart])[:, None], y[apart].astype(float), ridge=1e-2)
-        views.append((weights[v], (max(0.0, float(slope)), float(intercept))))
+            uid, label, *x = given[v]
+            taken[v].update(uid.tolist())
+            other = 1 - v
+            own[other] = np.concatenate([own[other][0], x[other]]), np.r_[own[other][1], label]
+        views = fitted()
     return CoTrained(views, min(max(prior, 1e-3), 1 - 1e-3))
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, labels, text features, metadata features) of the documents of `ids` (doc_id, y), one row an id."""
-    first = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED) -> CoTrained:
+    """Fit to a bounded sample of the labelled rows of `features` and to all others."""
+    known = pick(labels, doc_id="doc_id", q=label_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("q").cast("double").alias("q")).dropna().groupBy("doc_id").agg(F.round(F.avg("q")).cast("int").alias("y"))
+    known = written(known, "known")
+    first = rows.select("doc_id", "uid").join(known, "doc_id").groupBy("doc_id").agg(F.min("uid").alias("uid"), F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    # `first` has at most `labelled` rows, a parameter
+    got = rows.join(F.broadcast(first.select("uid", "y")), "uid").select("doc_id", "y", "a", "b").toArrow()
+    key = got["doc_id"].to_numpy()
+    order = np.argsort(key)
+    y, a, b = got["y"].to_numpy()[order], _stacked(got["a"], N_TEXT)[order], _stacked(got["b"], N_META)[order]
+    apart = np.array([xxhash.xxh32_intdigest(str(k), 3) % APART == 0 for k in key[order]], bool)
+    if known.count() <= BROADCAST_ROWS:
+        rest = rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+    else:
+        rest = written(rows.join(known.select("doc_id"), "doc_id", "left_anti"), "unlabelled")
+    return co_train((a, b), y, FramePool(rest), apart)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
-        for batch in batches:
-            a, b = _matrices(batch, buckets)
-            as_list = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-            yield pa.record_batch([batch["doc_id"], batch["y"], as_list(a), as_list(b)], names=["doc_id", "y", "a", "b"])
-
-    # `first` has at most `most` rows, a parameter
-    rows = _views(docs).join(F.broadcast(first), "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, y int, a array<float>, b array<float>").toArrow()
-    n = rows.num_rows
-    get = lambda c, wide: rows[c].combine_chunks().flatten().to_numpy().reshape(n, wide) if n else np.zeros((0, wide), np.float32)
-    key = rows["doc_id"].to_numpy()
-    order = np.unique(key, return_index=True)[1] if n else np.zeros(0, np.int64)  # one row an id
-    return key[order], rows["y"].to_numpy()[order], get("a", N_TEXT)[order], get("b", N_META)[order]
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit to a bounded sample of labelled documents and a bounded pool of others."""
-    known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("q")).dropna().groupBy("doc_id").agg(F.round(F.avg("q")).cast("int").alias("y"))
-    ids = docs.select(F.col("`doc_id`").cast("long").alias("doc_id")).dropna().distinct()
-    key, y, a, b = _sampled(docs, ids.join(known, "doc_id"), labelled)
-    _, _, pa_, pb = _sampled(docs, ids.join(known, "doc_id", "left_anti").withColumn("y", F.lit(0)), pool)
-    apart = np.array([xxhash.xxh32_intdigest(str(k), 3) % APART == 0 for k in key], bool)
-    return co_train((a, b), y, (pa_, pb), apart)
-
-
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, text_score, meta_score, score of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+
+def score(rows: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, text_score, meta_score, score of each row of `features`."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
-                a, b, c = (pa.array(np.asarray(x, np.float64)) for x in held.value.scores(_matrices(batch, buckets)))
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                a, b, c = (pa.array(np.asarray(x, np.float64)) for x in held.value.scores((_stacked(batch["a"], N_TEXT), _stacked(batch["b"], N_META))))
                 yield pa.record_batch([batch["doc_id"], a, b, c], names=["doc_id", "text_score", "meta_score", "score"])
 
-    return _views(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    return rows.select("doc_id", "a", "b").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """`docs` without those scored under `keep_at`. Rows that share an id go together only if all of them do; rows without an id stay."""
-    bad = score(docs, fit(docs, labels)).groupBy("doc_id").agg(F.max("score").alias("s")).where(F.col("s") < keep_at).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col("`doc_id`") == F.col("__bad"), "left_anti")
+    rows = features(docs)
+    bad = score(rows, fit(rows, labels)).groupBy("doc_id").agg(F.max("score").alias("s")).where(F.col("s") < keep_at)
+    return without(docs, "doc_id", bad.select("doc_id"))
 
 
 def op7_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).withColumn("keep", F.col("score") >= KEEP_AT)
+    rows = features(table(spark, sf_dir, "documents"))
+    return score(rows, fit(rows, table(spark, sf_dir, "labels"))).withColumn("keep", F.col("score") >= KEEP_AT)
