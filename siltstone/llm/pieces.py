@@ -1,17 +1,19 @@
 r"""SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The transducer is compiled from a model file:
+The transducer is compiled from a model file, as arcs (input, output, weight):
 
-    normaliser   identity with the dummy prefix, and a space written as U+2581
-    pieces       a trie of the pieces; the arc of a whole piece carries its id and the weight -score
-    bytes        a character without a piece of its own goes to the byte pieces of its UTF-8 form
+    normaliser   nothing -> U+2581 at the start of a text (the dummy prefix), space -> U+2581, any other character -> itself; weight 0
+    pieces       the characters of a piece -> its id, weight -score; a trie shares the arcs of common beginnings
+    bytes        a character without a piece of its own -> the byte pieces of its UTF-8 form, weight `_ESCAPE`
 
-An input is composed with it position by position, and the path of least weight in the tropical semiring
-(minimum, plus) gives the ids. For a unigram model that is the Viterbi path. For a BPE model a state also
-remembers the last piece, and an arc to the next piece exists only where merging the two pieces' characters
-by the model's ranks leaves exactly these two; a sequence of pieces is the merge result just when each adjacent
-pair is, so the composition has one accepting path, the model's own encoding. The shortest path is then that path, and
-a depth-first composition, longest arcs first, that remembers dead states finds it without building the others.
+For a BPE model an acceptor over ids is composed with these: after piece a, piece b is accepted only where merging
+the characters of both by the model's ranks leaves exactly a and b. A sequence of pieces is the merge result just when
+each adjacent pair is, so the composition accepts the model's own encoding alone. Its arcs are compiled when they are
+first asked for, and remembered, a set number at a time. A unigram model needs no acceptor.
+
+An input is composed with all of this position by position: a state is (position, last piece), or (position) for a
+unigram model, and its weight is the least over the arcs that enter it of weight before plus weight of the arc, that is
+the shortest path in the tropical semiring (minimum, plus). Ties go to the path found first.
 
 No piece reaches over the end of a word, so the composition falls apart at such places: the factors (a word with
 its leading spaces, or a character that no longer piece holds) are solved once each and remembered, a set
@@ -19,7 +21,8 @@ number at a time.
 
 Decoding joins the pieces, bytes as they are, and drops the dummy prefix. Encoding is exact: decode(encode(t)) == t for
 every text. To that end a literal U+2581 goes to its bytes; the usual library would take it for a space. An
-empty text has no ids; a null text has null ids. Repeated rows and null document ids are kept; extra columns are ignored.
+empty text has no ids; a null text has null ids. Repeated rows and null document ids are kept; an empty table gives no
+rows; extra columns are ignored, whatever their names. Very long texts take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pick, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -113,7 +116,7 @@ class Transducer:
                 node = self.trie
                 for c in text:
                     node = node.setdefault(c, {})
-                node[""] = i
+                node[""] = i, -self.score[i]
         self.text = {i: t for t, i in self.ids.items()}
         self.base = len(pieces)  # ids from here on stand for single characters that go to bytes
         inside = {c for t in self.ids if len(t) > 1 for c in t} - {SPACE}
@@ -127,10 +130,11 @@ class Transducer:
     def _reset(self):
         self.units: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.rows: dict[int, dict[int, bool]] = {}  # compiled arcs of the acceptor
+        self.compiled = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("units", "old", "pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("units", "old", "rows", "compiled")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -152,82 +156,72 @@ class Transducer:
     def _spelled(self, i: int) -> str:
         return self.text[i] if i < self.base else chr(i - self.base)
 
-    def _joins(self, a: int, b: int) -> bool:
-        """Whether pieces a and b may stand side by side in a BPE encoding."""
-        if len(self.pairs) >= PAIRS_HELD:
-            self.pairs.clear()
+    def _accepts(self, a: int, b: int) -> bool:
+        """Compile an arc of the acceptor: whether pieces a and b may stand side by side in a BPE encoding."""
         x, y = self._spelled(a), self._spelled(b)
-        ok = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
-        return ok
-
-    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(piece, end) of the arcs from a position, longest first; the bytes of a character without a piece last."""
-        out, node, end, size = [], self.trie, at, len(text)
-        while end < size:
-            node = node.get(text[end])
+        self.compiled += 1
+        return self.merged(x + y) == [x, y]
+
+    def _arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
+        """(piece, end, weight) of the arcs from a position of normalised text, shortest first; the bytes of a character without a piece first of all."""
+        out, node, end = [], self.trie, at
+        for c in text[at:]:
+            node = node.get(c)
             if node is None:
                 break
             end += 1
-            piece = node.get("")
-            if piece is not None:
-                out.append((piece, end))
-        out.reverse()
+            arc = node.get("")
+            if arc is not None:
+                out.append((arc[0], end, arc[1]))
         if text[at] not in self.ids:
-            out.append((self.base + ord(text[at]), at + 1))
+            out.insert(0, (self.base + ord(text[at]), at + 1, _ESCAPE))
         return out
 
     def shortest(self, text: str) -> list[int]:
         """Pieces on the path of least weight; ids from `base` on are characters that go to bytes."""
-        return self._merging(text) if self.kind == BPE else self._viterbi(text)
-
-    def _viterbi(self, text: str) -> list[int]:
-        best: list[tuple[float, int, int] | None] = [None] * (len(text) + 1)
-        best[0] = (0.0, -1, -1)
-        for at, here in enumerate(best[:-1]):
-            here = best[at]
+        bpe, rows = self.kind == BPE, self.rows
+        if self.compiled >= PAIRS_HELD:
+            rows.clear()
+            self.compiled = 0
+        # states by position: last piece -> (weight, position before, last piece before); a unigram model remembers none
+        states: list[dict[int, tuple[float, int, int]] | None] = [None] * (len(text) + 1)
+        states[0] = {-1: (0.0, -1, -1)}
+        for at in range(len(text)):
+            here = states[at]
             if here is None:
                 continue
-            for piece, end in self._arcs(text, at):
-                weight = here[0] + (_ESCAPE if piece >= self.base else -self.score[piece])
-                if best[end] is None or weight < best[end][0]:
-                    best[end] = (weight, at, piece)
+            arcs = self._arcs(text, at)
+            for last, state in here.items():
+                before = state[0]
+                row = rows.get(last)
+                if row is None:
+                    row = rows[last] = {}
+                for piece, end, weight in arcs:
+                    if bpe and at:
+                        ok = row.get(piece)
+                        if ok is None:
+                            ok = row[piece] = self._accepts(last, piece)
+                        if not ok:
+                            continue
+                    there = states[end]
+                    if there is None:
+                        there = states[end] = {}
+                    to = piece if bpe else -1
+                    old = there.get(to)
+                    if old is None or before + weight < old[0]:
+                        there[to] = (before + weight, at, last if bpe else piece)
         out, at = [], len(text)
+        if bpe and at:
+            end = states[at]
+            last = min(end, key=lambda k: end[k][0])
+            while at:
+                out.append(last)
+                _, at, last = states[at][last]
         while at:
-            _, at, piece = best[at]
+            _, at, piece = states[at][-1]
             out.append(piece)
         return out[::-1]
 
-    def _merging(self, text: str) -> list[int]:
-        size, pairs = len(text), self.pairs
-        arcs: list[list[tuple[int, int]] | None] = [None] * size
-        out: list[int] = []
-        back: list[tuple[int, int]] = []  # position and next arc to try of the states before
-        dead: set[tuple[int, int]] = set()
-        at, k, last = 0, 0, -1
-        while at < size:
-            own = arcs[at]
-            if own is None:
-                own = arcs[at] = self._arcs(text, at)
-            while k < len(own):
-                piece, end = own[k]
-                k += 1
-                if last >= 0:
-                    ok = pairs.get(last << 32 | piece)
-                    if not (self._joins(last, piece) if ok is None else ok):
-                        continue
-                if dead and (end, piece) in dead:
-                    continue
-                back.append((at, k))
-                out.append(piece)
-                at, k, last = end, 0, piece
-                break
-            else:
-                dead.add((at, last))
-                at, k = back.pop()
-                out.pop()
-                last = out[-1] if out else -1
-        return out
-
     def _unit(self, text: str) -> bytes:
         ids = self.shortest(text)
         if ids and max(ids) >= self.base:
@@ -267,7 +261,8 @@ def load(path: str = MODEL) -> Transducer:
 
 def encode(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_tokens, exact) of each row; exact says that the ids decode to the text."""
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    own = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string").alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(transducer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +282,13 @@ def encode(docs: DataFrame, transducer: Transducer, id_col: str = "doc_id", text
                     exact.append(x is not None and t.decode(listed[a:b]) == x)
                 yield pa.record_batch([batch["id"], rows, pa.array(lens), pa.array(exact)], names=["id", "ids", "n_tokens", "exact"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, exact boolean")
+    return own.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, exact boolean")
 
 
 def decode(encoded: DataFrame, transducer: Transducer, id_col: str = "id") -> DataFrame:
     """(id, text) of rows with a column `ids`; null ids give a null text. Ids outside the model are an error."""
-    kind = encoded.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    own = pick(encoded, id=id_col, ids="ids").select("id", F.col("ids").cast("array<int>").alias("ids"))
+    kind = own.schema["id"].dataType.simpleString()
     held = encoded.sparkSession.sparkContext.broadcast(transducer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +296,7 @@ def decode(encoded: DataFrame, transducer: Transducer, id_col: str = "id") -> Da
             texts = [None if ids is None else held.value.decode(ids) for ids in batch["ids"].to_pylist()]
             yield pa.record_batch([batch["id"], pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(f"`{id_col}`").alias("id"), F.col("`ids`").cast("array<int>").alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    return own.mapInArrow(run, f"id {kind}, text string")
 
 
 def op9_pieces(spark, sf_dir):
