@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pick, table
 
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE ", "[/ROLE]"]
 _CONTROL = "|".join(map(re.escape, CONTROL))
@@ -112,7 +112,8 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
     The pieces of a conversation, joined in order of pos, are its formatted text.
     """
-    turns = rows.select(F.col("`conv_id`").cast("long").alias("conv_id"), F.col("`turn`").alias("turn"), F.coalesce(F.col("`role`"), F.lit("")).alias("role"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
+    own = pick(rows, **{c: c for c in ("conv_id", "turn", "role", "text")})
+    turns = own.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import pick, table, written
 
 QUERY_BLOCK = 4096
 CHUNK = 1024
@@ -111,16 +111,16 @@ def maxscore_block(queries: np.ndarray, query_uid: np.ndarray, block: np.ndarray
 
 
 def exact_topk(vectors: DataFrame, is_query, *, k: int, scale: float, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """`k` best rows of `vectors` for each row where the column expression `is_query` holds.
+    """`k` best rows of `vectors` for each row where `is_query`, an expression over the column vec_id, holds.
 
     Returns query_id, rank, vec_id, score; fewer than k rows where there are fewer candidates.
     """
     spark = vectors.sparkSession
-    vec = F.col(f"`{vector_col}`")
-    good = vectors.where(vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
+    vec = F.col("vector")
+    good = pick(vectors, vec_id=id_col, vector=vector_col).where(vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
     rows = written(
         good.select(
-            F.col(f"`{id_col}`").cast("long").alias("vec_id"),
+            F.col("vec_id").cast("long").alias("vec_id"),
             F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"),
             F.coalesce(is_query, F.lit(False)).alias("is_query"),
             F.monotonically_increasing_id().alias("uid"),

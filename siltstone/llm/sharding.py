@@ -9,7 +9,8 @@ depends on how the bytes are spread. The histogram holds a row per fine prefix,
 The hash is the MD5 digest of the id and of the text's digest, so copies with other ids are spread. Rows
 alike in both cannot be told apart by it; where such rows overfill a bucket at full depth, further bits
 come from the row's position in the scan. A row that alone exceeds the limit is a shard of its own with
-`oversized` set. A null text has 0 bytes; a null id is hashed as empty. No rows: no shards.
+`oversized` set. A null text has 0 bytes; a null id is hashed as empty. No rows: no shards. Names of other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, place, table, written
 
 BITS = 60
 SPARE = 4
@@ -77,15 +78,16 @@ def _rounds(rows: DataFrame, limit: int, base: int) -> DataFrame:
 def extendible_shards(docs: DataFrame, max_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of `docs`: id, bytes, shard (its leading hash bits, "" for the root), depth, shard_bytes, shard_rows, oversized.
 
-    With `carry` the whole input row comes along as the struct `row`.
+    With `carry` the whole input row comes along as the struct `row`, its fields numbered c0, c1, ...
     """
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("bytes"),
-        row_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"),
+    own, id_, text = numbered(docs), F.col(f"c{place(docs, id_col)}"), F.col(f"c{place(docs, text_col)}").cast("string")
+    rows = own.select(
+        id_.alias("id"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+        row_hash(id_, text).alias("h"),
         F.monotonically_increasing_id().alias("uid"),
         F.lit("").alias("stem"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([F.struct(*own.columns).alias("row")] if carry else []),
     )
     out = _rounds(written(rows, "row-hashes"), max_bytes, 0)
     alike = out.where(~F.col("fits"))
@@ -97,7 +99,7 @@ def extendible_shards(docs: DataFrame, max_bytes: int = SHARD_BYTES, id_col: str
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the rows of `docs` as one folder per shard; the rows of a shard meet in one task."""
-    extendible_shards(docs, max_bytes, id_col, text_col, carry=True).select("shard", "row").repartition("shard").write.partitionBy("shard").parquet(path)
+    extendible_shards(docs, max_bytes, id_col, text_col, carry=True).select("shard", F.col("row").cast(docs.schema).alias("row")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op3_shards(spark, sf_dir):
