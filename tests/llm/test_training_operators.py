@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, components, cotrain, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash
+from siltstone.llm import chat, common, components, cotrain, decontam, licences, linededup, lm, maxscore, pieces, sharding, simhash, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, doc string, line string, uid string, row string, score string, removed string"
 
@@ -72,25 +72,59 @@ def test_lm_counts_match_brute_force(docs, texts):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_segments_change_nothing(docs):
-    a, b = (sorted(map(tuple, lm_rows(docs, segment_bytes=n)), key=key) for n in (1 << 30, 4000))
-    assert a == b
+def test_lm_segments_and_shuffle_change_nothing(docs):
+    a, b, c = (sorted(map(tuple, lm_rows(docs, **kw)), key=key) for kw in ({}, {"segment_bytes": 4000, "most_segments": 1000}, {"segment_bytes": 4000, "most_segments": 0}))
+    assert a == b == c
+
+
+def lm_reference(texts, weights):
+    """Scores from dictionaries of exact counts, quantised as the filter's levels, and the sum of P over each context's vocabulary."""
+    uni, bi, toks = Counter(), Counter(), []
+    for i, t in texts:
+        w = ["<start>", *(t or "").encode().lower().split(), "<end>"]
+        out = zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+        toks.append((i, out, w))
+        if not out:
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+    n, v, n_texts = sum(uni.values()), len(uni), sum(not out for _, out, _ in toks)
+    level, middle = lambda c: c.bit_length(), lambda k: 1.5 * 2 ** (k - 1) - 0.5 if k else 0.0
+    total = defaultdict(float)
+    for (u, _), c in bi.items():
+        total[u] += middle(level(c))
+
+    def p(u, w):
+        a = weights[level(n_texts if u == "<start>" else uni[u])] if total[u] else 0.0
+        return a * (middle(level(bi[u, w])) / total[u] if total[u] else 0.0) + (1 - a) * (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    scores = [(i, out, sum(math.log10(p(*x)) for x in zip(w, w[1:]))) for i, out, w in toks]
+    return scores, [sum(p(u, w) for w in [*uni, "<a word not seen>"]) for u in list(total)[:200]]
+
+
+def test_lm_scores_match_dictionaries(docs, texts):
+    own = docs.select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
+    model = lm.train(own.where("not held_out"), bits_per_key=20_000)  # hardly any false positives
+    got = sorted(((r.doc_id, r.held_out, r.score) for r in lm.score(model, own).collect()), key=key)
+    want, sums = lm_reference(texts, model.weights)
+    want.sort(key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    near = [abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2])) for a, b in zip(got, want)]
+    assert np.mean(near) > 0.98
+    assert all(x == pytest.approx(1) for x in sums)
 
 
 def test_lm_filter_levels():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    keys = np.sort(rng.integers(0, 2**63, 5000).astype(np.uint64))
     counts = rng.integers(1, 100, 5000)
-    import pyarrow as pa
-
-    batch = pa.record_batch([pa.array(np.ones(5000, np.int8)), pa.array(lm._region(keys, 10).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "region", "key", "n"])
-    rows = [r for b in lm._build(iter([batch])) for r in b.to_pylist()]
-    sizes = [dict(r, body=len(r["body"]), counts=len(r["counts"])) for r in rows]
+    rows = [r for b in lm._build(lm._by_region(lm.PAIRS, keys, counts, lm._region(keys, 10)), 10) for r in b.to_pylist() if r["kind"] == lm.PAIRS]
+    sizes = [dict(r, **{c: len(r[c]) for c in ("blob", "more", "last")}) for r in rows]
     got = lm.Segment(sizes, iter(rows), 10).levels(keys)
     want = lm._level(counts)
-    assert (got >= want).all() and (got == want).mean() > 0.95  # never too low, rarely too high
+    assert (got >= want).all() and (got == want).mean() > 0.97  # never too low, rarely too high
     absent = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    assert (lm.Segment(sizes, iter(rows), 10).levels(absent) > 0).mean() < 0.06
+    assert (lm.Segment(sizes, iter(rows), 10).levels(absent) > 0).mean() < 0.02
+    assert (lm._unmix(lm._mix(keys)) == keys).all()
 
 
 def test_lm_empty(empty):
@@ -150,12 +184,101 @@ def test_links_of_a_dense_cluster(spark, bits):
     assert got == brute_components(fps, signed, bits)
 
 
-def test_chain_never_loses_a_link():
+@pytest.mark.parametrize("segments", [6, 7, 8])
+def test_chain_never_loses_a_link(segments):
     rng = np.random.default_rng(2)
     x = np.zeros(2000, np.uint64)
     for _ in range(4):
         x ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
-    assert simhash.chain_holds(x).all()
+    assert simhash.chain_holds(x, 4, segments).all()
+    assert simhash.chain_holds(rng.integers(0, 2**63, 2000).astype(np.uint64), 4, segments).mean() < 0.01
+
+
+def test_more_fingerprints_take_more_segments(spark):
+    assert [simhash.segments_for(n) for n in (0, 10**5, 10**7, 10**9, 10**11)] == [6, 6, 6, 7, 8]
+    rng = random.Random(9)
+    fps = sorted({f ^ sum(1 << rng.randrange(62) for _ in range(rng.randint(0, 5))) for f in [rng.getrandbits(62) for _ in range(60)] for _ in range(4)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for m in (6, 7, 8):
+        root = {r.u: r.root for r in components.components(simhash.near_links(df, 4, m)).collect()}
+        assert [root.get(f, f) for f in fps] == brute_components(fps, fps, 4)
+
+
+def edited_copies(rng, n):
+    """Texts and copies of them with more and more edits."""
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        rows.append((i, " ".join(words)))
+        for c, edits in enumerate((1, len(words) // 60, len(words) // 30)):
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((1000 * (c + 1) + i, " ".join(words)))
+    return rows
+
+
+def similar_pairs(rows, threshold=0.8, width=5):
+    """(pairs of the distinct sets, by brute force; the ids of each set; the sets)."""
+    ids = defaultdict(list)
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        ids[frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()].append(i)
+    sets = list(ids)
+    like = lambda s, o: len(s & o) >= threshold * len(s | o) - 1e-9 if s | o else True
+    return [(a, b) for b in range(len(sets)) for a in range(b) if like(sets[a], sets[b])], ids, sets
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_similar_groups(spark, group, monkeypatch):
+    """Recall against brute force, no link below the threshold, and blocks of a key that many share."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rows = edited_copies(random.Random(8), 60)
+    rows += [(9000 + i, rows[i][1]) for i in range(5)] + [(9100, None), (9101, ""), (9102, "two words"), (9103, "Two words")]
+    pairs, ids, sets = similar_pairs(rows)
+    got = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = [min(ids[s]) for s in sets]
+    assert all(got[i] == got[least[k]] for k, s in enumerate(sets) for i in ids[s])  # copies
+    assert np.mean([got[least[a]] == got[least[b]] for a, b in pairs]) >= (0.95 if group > 3 else 0.9)
+    whole = brute_components_of(len(sets), pairs)
+    assert all(whole[a] == whole[b] for a in range(len(sets)) for b in range(a) if got[least[a]] == got[least[b]])
+    assert all(got[i] <= i and got[got[i]] == got[i] for i in got)
+
+
+def brute_components_of(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return [find(x) for x in range(n)]
+
+
+def test_keep_one_similar(docs, texts, empty):
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns
+    pairs, ids, sets = similar_pairs(texts)
+    assert kept.count() == len(set(brute_components_of(len(sets), pairs)))
+    assert simhash.keep_one_similar(empty).count() == 0
+
+
+def test_shingle_sets_and_wide_fingerprints():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "bb", "a-longer-word", "y" * 70]) for _ in range(rng.randint(0, 12))).encode() for _ in range(50)] + [None, b"", b"\n x\t"]
+    group, values = simhash.shingle_sets(texts, 3)
+    for i, t in enumerate(texts):
+        w = (t or b"").lower().split()
+        assert (group == i).sum() == len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else ())
+    fps = simhash.wide_fingerprints(group, values, len(texts))
+    for i in range(len(texts)):
+        own = values[group == i]
+        for k in range(simhash.WIDE):
+            h = simhash.mix(own + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 2**64 - 1))
+            want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+            assert int(fps[i, k]) == want
 
 
 def test_keep_one(docs, empty):
@@ -218,6 +341,26 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licences_in_full(spark):
+    """Whole texts from files that many systems hold, and a caller's own."""
+    import os
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = [(k, open(p, encoding="utf-8").read()) for k, f in names.items() if os.path.exists(p := f"/usr/share/common-licenses/{f}")]
+    rows = [(k, t.replace("license", "licence").upper() + "\nCopyright Jane Doe and Others\n") for k, t in there] + [("own", "House  Rules: be kind.")]
+    more = spark.createDataFrame([("own", "house rules be kind"), (None, None)], "licence string, text string")
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string"), more=more).collect()
+    assert {r.id: r.licence for r in got} == {k: k for k, _ in rows}
+
+
+def test_canonical_form():
+    same = lambda a, b: licences._canonical(a) == licences._canonical(b)
+    assert same("Version 2.0", "v2.0") and not same("inversion 2", "inv2")
+    assert same("Licence licence LICENCES", "license license licenses") and not same("silicence", "silicense")
+    assert same("x\nCopyright Jane Doe\ny", "x\ny") and same("x\n (c) 2020 A\ny", "x y")
+    assert not same("x\nCOPYRIGHT HOLDERS BE LIABLE\ny", "x\ny") and not same("x\ncopyright notice and\ny", "x y")
+
+
 def test_every_notice_is_found(spark):
     rows = licences.notices()
     got = licences.scan_licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
@@ -310,6 +453,10 @@ def test_proximity(spark):
     ids = {r.row: r.id for r in index.where("term = -1").collect()}
     found = lambda slop: {ids[r.row] for r in decontam.matches(index, terms, slop=slop).collect()}
     assert found(0) == {1} and found(1) == {1, 2} and found(3) == {1, 2, 3}
+    near = {r.id: (r.n_hit, r.item_ids, r.near_ids) for r in decontam.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=1).collect()}
+    assert near == {1: (10, ["1"], ["1"]), 2: (0, [], ["1"]), 3: (0, [], [])}
+    left = lambda slop: {r.doc_id for r in decontam.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=slop).collect()}
+    assert left(0) == {2, 3} and left(1) == {3}
 
 
 # --- classifier ----------------------------------------------------------------------------------------------------
@@ -326,12 +473,20 @@ def test_classifier_held_out(spark):
         labels.append((i, int(good), 0))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     lab = spark.createDataFrame([x for x in labels if x[0] % 3 == 0], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in cotrain.score(df, cotrain.fit(df, lab)).collect()}
+    own = cotrain.features(df)
+    model = cotrain.fit(own, lab)
+    got = {r.doc_id: r for r in cotrain.score(own, model).collect()}
     for view, least in (("text_score", 0.97), ("score", 0.97), ("meta_score", 0.75)):
         right = [(got[i][view] >= 0.5) == bool(q) for i, q, _ in labels if i % 3]
         assert np.mean(right) >= least
-    again = {r.doc_id: r.score for r in cotrain.score(df, cotrain.fit(df, lab)).collect()}
-    assert all(again[i] == pytest.approx(r.score) for i, r in got.items())
+    # the same in memory, without Spark
+    x = cotrain.matrices([t.encode() for _, t, *_ in rows], [m for _, _, *m in rows], cotrain._Buckets())
+    x = [m.astype(np.float32) for m in x]
+    known = np.arange(len(rows)) % 3 == 0
+    apart = np.array([cotrain.xxhash.xxh32_intdigest(str(i), 3) % cotrain.APART == 0 for i in np.flatnonzero(known)])
+    plain = cotrain.co_train(tuple(m[known] for m in x), np.array([q for _, q, _ in labels])[known], cotrain.ArrayPool(*[m[~known] for m in x]), apart)
+    for name, want in zip(("text_score", "meta_score", "score"), plain.scores(tuple(x))):
+        assert all(got[i][name] == pytest.approx(want[i], abs=1e-3) for i in range(len(rows)))
 
 
 def test_co_training_passes_labels_between_views():
@@ -344,18 +499,44 @@ def test_co_training_passes_labels_between_views():
     pa_ = (t[:, None] * 2 - 1 + rng.normal(0, 0.3, (1000, 1))).astype(np.float32)
     pb = np.c_[t * 2 - 1 + rng.normal(0, 0.5, 1000), rng.normal(0, 1, 1000)].astype(np.float32)
     apart = np.arange(40) % 4 == 0
-    alone, together = (cotrain.co_train((a, b), y, (pa_, pb), apart, rounds=r) for r in (0, 5))
+    alone, together = (cotrain.co_train((a, b), y, cotrain.ArrayPool(pa_, pb), apart, rounds=r, most=100, sure=0.9) for r in (0, 5))
     right = [((cotrain._odds(m.views[1][0], pb) > 0) == (t == 1)).mean() for m in (alone, together)]
     assert right[1] > 0.9 > right[0]
 
 
+def test_only_sure_rows_are_handed_over():
+    """A view that knows nothing hands over nothing; ties go to the first rows, and no row is handed over twice."""
+    x = np.array([[3.0], [3.0], [3.0], [-3.0], [0.0], [0.1]], np.float32)
+    view = np.array([2.0, 0.0]), (1.0, 0.0)
+    none = np.array([0.0, 1.0]), (1.0, 0.0)
+    pool = cotrain.ArrayPool(x, x)
+    got = pool.surest([view, none], [set(), set()], 2, 2, 0.95)
+    assert got[0][0].tolist() == [3, 0, 1] and got[0][1].tolist() == [0, 1, 1] and not len(got[1][0])
+    assert pool.surest([view, none], [{0, 3}, set()], 2, 2, 0.95)[0][0].tolist() == [1, 2]
+
+
+def test_pool_of_a_table(spark):
+    """The distributed pool picks what the one in memory picks, ties as well."""
+    rng = np.random.default_rng(4)
+    a, b = (np.round(rng.normal(0, 1, (300, n)), 1).astype(np.float16) for n in (cotrain.N_TEXT, cotrain.N_META))
+    a[100:200], b[100:200] = a[:100], b[:100]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(y.tobytes())) for i, (x, y) in enumerate(zip(a, b))], "uid long, a binary, b binary").repartition(3)
+    views = [(np.r_[np.ones(5), np.zeros(n - 5), 0.1], (1.0, 0.0)) for n in (cotrain.N_TEXT, cotrain.N_META)]
+    pools = cotrain.ArrayPool(a.astype(np.float32), b.astype(np.float32)), cotrain.FramePool(df)
+    one, two = (p.surest(views, [{1, 2}, set()], 17, 9, 0.8) for p in pools)
+    for x, y in zip(one, two):
+        assert sorted(x[0].tolist()) == sorted(y[0].tolist()) and len(x[0]) == 26
+        assert dict(zip(x[0].tolist(), x[1])) == dict(zip(y[0].tolist(), y[1]))
+
+
 def test_classifier_odd_inputs(spark, docs, empty):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, None), (None, 1), (4, 1), (6, 0)], "doc_id long, quality int")
     kept = cotrain.keep_good(docs, lab)
     assert kept.columns == docs.columns
-    assert cotrain.score(docs, cotrain.fit(docs, lab)).count() == docs.count()
-    assert {r.score for r in cotrain.score(docs, cotrain.fit(docs, lab.limit(0))).collect()} == {1.0}
-    assert cotrain.score(empty, cotrain.fit(empty, lab)).count() == 0
+    own, none = cotrain.features(docs), cotrain.features(empty)
+    assert cotrain.score(own, cotrain.fit(own, lab)).count() == docs.count()
+    assert {r.score for r in cotrain.score(own, cotrain.fit(own, lab.limit(0))).collect()} == {1.0}
+    assert cotrain.score(none, cotrain.fit(none, lab)).count() == 0
 
 
 # --- line dedup ----------------------------------------------------------------------------------------------------
@@ -404,39 +585,36 @@ def test_line_dedup_of_rows_out_of_order(spark):
         assert lines_got(spark.createDataFrame(own, "doc_id long, text string").coalesce(1)) == lines_want(own)
 
 
-def test_line_dedup_of_words_alike_in_32_bits(spark):
-    """Different words with one xxh32 value, and words whose tokens end in the same 32 bits."""
-    import xxhash
-
-    def alike(digest):
-        seen = {}
-        for i in range(1_000_000):
-            seen.setdefault(digest(f"w{i}".encode()) & 0xFFFFFFFF, []).append(f"w{i}")
-        return next(x for x in seen.values() if len(x) > 1)
-
-    (a, b), (c, d) = alike(lambda w: xxhash.xxh32_intdigest(w, 42))[:2], alike(lambda w: linededup._Tokens()[w])[:2]
-    rows = [(1, a), (2, b), (3, c), (4, d), (5, f"{c} {d}"), (6, f"{c} {d} e f g"), (7, f"{c} {d} e f g h"), (8, f"{d} {d} m n"), (9, f"{c} m n")]
-    assert lines_got(spark.createDataFrame(rows, "doc_id long, text string")) == lines_want(rows)
+def test_line_dedup_in_any_order(spark, texts):
+    """The same lines go however rows lie in tasks."""
+    own = [(k, t) for k, (i, t) in enumerate(texts) if i != 303]
+    want = lines_want(own)
+    for seed, parts in ((1, 1), (2, 5)):
+        rows = random.Random(seed).sample(own, len(own))
+        assert lines_got(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == want
 
 
-def test_line_dedup_of_many_variants(spark, monkeypatch):
-    """A large family of variants of a line and false candidates: more candidates than the first round takes."""
+@pytest.mark.parametrize(("group", "first"), [(4096, 8), (20, 2), (3, 1)])
+def test_line_dedup_of_many_variants(spark, monkeypatch, group, first):
+    """A large family of variants of a line and false candidates: keys of many tokens, blocks, and sets with more candidates than the first round takes."""
+    monkeypatch.setattr(linededup, "GROUP", group)
+    monkeypatch.setattr(linededup, "FIRST", first)
     rng = random.Random(4)
     core = [f"c{i}" for i in range(20)]
     rows = [(i, " ".join(core[:15] + rng.sample(core[15:] + [f"v{k}" for k in range(12)], rng.randint(3, 6)))) for i in range(150)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert lines_got(df) == lines_want(rows)
-    own = linededup.keyed(df, "doc_id")
-    found = []
-    for small in (linededup.SMALL_GROUP, 4):  # all groups at once, or large ones row by row
-        cols = [b for b in linededup._sets(iter(own.selectExpr("__doc AS doc", "text").toArrow().to_batches()))]
-        sets = spark.createDataFrame([tuple(r[c] for c in ("doc", "line", "n", "tokens")) for b in cols for r in b.to_pylist() if r["tokens"]], "doc long, line int, n int, tokens binary")
-        pre = linededup._prefixes(sets, linededup.hashed_frequencies(sets), 0.8).toArrow().to_pandas().sort_values(["token", "n", "doc", "line"])
-        part = linededup._Rows({c: pre[c].to_numpy() for c in pre.columns}, 0.8)
-        monkeypatch.setattr(linededup, "SMALL_GROUP", small)
-        later, earlier, more = part.candidates(len(pre), 3)
-        found.append((sorted(zip(later.tolist(), earlier.tolist())), sorted(more.tolist())))
-    assert found[0] == found[1] and found[0][1]
+    rows += [(1000 + i, "\n".join(" ".join(rng.choice([f"w{k}" for k in range(40)]) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    rows += [(3000, " ".join(f"z{i}" for i in range(300))), (3001, " ".join(f"z{i}" for i in range(290))), (3002, "a" * 99 + " b"), (3003, "a" * 99 + " b c")]
+    assert lines_got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == lines_want(rows)
+
+
+def test_words_of_many_texts():
+    texts = [b" a  Bb\n\x0bccc ", None, b"", b"x" * 100 + b"\n" + b"y" * 64 + b" " + b"z" * 65, "é ÄB\u00a0c\u2028 d".encode(), b"\n\n a"]
+    h, text, line, lines = words.word_hashes(texts)
+    want = [(i, k, w) for i, t in enumerate(texts) for k, row in enumerate((t or b"").lower().split(b"\n")) for w in row.split()]
+    assert list(zip(text.tolist(), line.tolist())) == [x[:2] for x in want] and lines.tolist() == [(t or b"").count(b"\n") + 1 for t in texts]
+    assert len(set(h.tolist())) == len({x[2] for x in want})
+    again = words.word_hashes([w for _, _, w in want])[0]
+    assert again.tolist() == h.tolist()
 
 
 def test_keep_documents(spark):
@@ -534,3 +712,51 @@ def test_topk(spark, monkeypatch):
     few = df.limit(3)
     assert len(maxscore.exact_topk(few, F.col("vec_id") == 0, k=7, scale=64.0).collect()) == 2
     assert maxscore.exact_topk(df.limit(0), F.col("vec_id") == 0, k=7, scale=64.0).count() == 0
+
+
+def test_topk_overflow_is_stated(spark):
+    """Scores are exact up to 64 bits: large components that fit give the exact product."""
+    big = 2.0**24
+    df = spark.createDataFrame([(0, [big, -big]), (1, [big, big]), (2, [-big, big])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in maxscore.exact_topk(df, F.col("vec_id") == 0, k=3, scale=64.0).collect()}
+    assert got == {(0, 1): 0, (0, 2): -(2**61)}
+
+
+# --- names and folders ---------------------------------------------------------------------------------------------
+
+
+def test_columns_that_clash_by_case(spark):
+    """Extra columns whose names differ from ours in case alone, or are names of our own columns."""
+    names = ["DOC_ID", "doc_id", "Text", "text", "lang", "source", "n_chars", "c0", "c1", "doc", "__doc", "__n_lines", "removed", "gone", "id", "row", "salt", "component"]
+    rows = [["x", i, "y", t, "en", "s", 9, *["z"] * 11] for i, t in enumerate(["a b c d e f g h i j k\nsecond line", "a b c d e f g h i j k", None, "", "two words"])]
+    df = spark.createDataFrame([tuple(r) for r in rows], [f"n{i}" for i in range(len(names))]).toDF(*names)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j", "x", "y")], "n long, t string, i string, x string").toDF("item_id", "text", "ITEM_ID", "TEXT")
+    labels = spark.createDataFrame([(0, 1, 5), (1, 0, 6)], "d long, q int, x int").toDF("doc_id", "quality", "QUALITY")
+    assert simhash.near_duplicates(df).count() == 5
+    assert simhash.similar_groups(df).count() == 5
+    assert sharding.extendible_shards(df).count() == 5
+    assert licences.scan_licences(df).count() == 5
+    assert [r.n_hit for r in decontam.contamination(df, bench).orderBy("id").collect()] == [10, 10, 0, 0, 0]
+    for kept in (simhash.keep_one(df), simhash.keep_one_similar(df), decontam.remove_contaminated(df, bench), cotrain.keep_good(df, labels), linededup.keep_documents(df)):
+        assert kept.columns == names and 0 < kept.count() <= 5
+    assert linededup.dedup_lines(df).columns == [*names, "__n_lines", "__removed"]
+    assert pieces.encode(df, pieces.load()).count() == 5
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", "y")], "a long, b long, c string, d string, e string, f string").toDF("conv_id", "turn", "role", "text", "ROLE", "piece")
+    assert chat.read_back(chat.format_turns(turns)).first().n_turns == 1
+    vectors = spark.createDataFrame([(0, [1.0], "x"), (1, [2.0], "y")], "a long, b array<double>, c string").toDF("vec_id", "embedding", "VEC_ID")
+    assert maxscore.exact_topk(vectors, F.col("vec_id") == 0, k=3, scale=64.0).count() == 1
+    with pytest.raises(ValueError, match="2 columns"):
+        common.place(df.toDF(*["text"] * 2, *names[2:]), "TEXT")
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(f"{folder}/siltstone"))
+    with common.scratch(spark):
+        common.written(spark.range(3), "one")
+        two = common.written(spark.range(3), "two")
+        common.discard(two)
+        assert len(set(os.listdir(f"{folder}/siltstone")) - before) == 1
+    assert set(os.listdir(f"{folder}/siltstone")) == before
