@@ -94,6 +94,36 @@ def json_object(text) -> dict:
     return got if isinstance(got, dict) else {}
 
 
+def object_model(complete: Callable[[str], str], schema: str):
+    """Column function prompt -> struct of `schema` from the JSON object that the answer holds; null fields where it has none."""
+    ask = text_model(lambda p: json.dumps(json_object(complete(p)), ensure_ascii=False))
+    return lambda prompt: F.from_json(ask(prompt), schema)
+
+
+def picture_model(describe: Callable[[list[bytes]], list[str]]):
+    """Column function binary picture -> caption, by batches; a picture that is null has none."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            there = s[s.notna()]
+            got = describe([bytes(b) for b in there]) if len(there) else []
+            if len(got) != len(there):
+                raise ValueError("the model gave another number of captions")
+            yield pd.Series(got, index=there.index, dtype="object").reindex(s.index)
+
+    return run
+
+
+def video_summary(scenes: DataFrame, by: str = "asset_id", start: str = "start_s", caption: str = "caption") -> DataFrame:
+    """(by, summary, n_scenes): captions in order of time, one a line with its second, repeats of the one before left out."""
+    own = scenes.where(F.coalesce(caption, F.lit("")) != "")
+    listed = F.array_sort(F.collect_list(F.struct(start, caption)))
+    fresh = F.filter(F.col("l"), lambda x, i: (i == 0) | (F.get(F.col("l"), i - 1)[caption] != x[caption]))
+    line = lambda x: F.concat(F.lit("["), F.floor(x[start]).cast("string"), F.lit("s] "), x[caption])
+    return own.groupBy(by).agg(listed.alias("l")).select(by, F.array_join(F.transform(fresh, line), "\n").alias("summary"), F.size(fresh).alias("n_scenes"))
+
+
 def summarise(chunks: DataFrame, complete: Callable[[str], str], by: str = "asset_id", order: str = "chunk_index", text: str = "chunk", least: int = 1) -> DataFrame:
     """(by, summary): each chunk is summarised, the partial summaries of a group are joined in order and summarised again.
 

@@ -28,6 +28,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def fold(c: Column) -> Column:
+    """Lower case by way of upper case, so that letters with several lower-case forms compare as one (sharp s, final sigma)."""
+    return F.lower(F.upper(c))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -71,9 +76,9 @@ def base_stem(path: Column, drop_id: bool = False) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-cased extension, null without one."""
-    ext = F.regexp_extract(F.substring_index(path, "/", -1), r"\.([^.]+)$", 1)
-    return F.when(ext != "", F.lower(ext))
+    """Lower-cased extension, null without one; a leading dot begins a name."""
+    ext = F.regexp_extract(F.substring_index(path, "/", -1), r"(?<=.)\.([^.]+)$", 1)
+    return F.when(ext != "", fold(ext))
 
 
 def source_dataset(path: Column) -> Column:
@@ -172,14 +177,24 @@ def distinct_texts(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(values, strip), lambda x: x.isNotNull() & (x != "")))
 
 
-def keywords(values: Column, generic: list[str] = (), limit: int | None = None) -> Column:
-    """First spelling of each keyword (compared in lower case), generic ones dropped, at most `limit`."""
-    clean = F.filter(F.transform(values, squeeze), lambda x: x.isNotNull() & (x != "") & ~F.lower(x).isin([*generic, ""]))
-    low = F.transform(clean, F.lower)
-    out = F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+# Words that say no more than that there is a picture.
+GENERIC = ["영상", "동영상", "비디오", "장면", "이미지", "사진", "그림", "화면", "영상입니다", "장면입니다", "사진입니다", "이미지입니다", "동영상입니다", "화면입니다"]
+
+
+def keywords(values: Column, generic: list[str] = GENERIC, limit: int | None = None) -> Column:
+    """First spelling of each keyword (case does not count), generic ones dropped, at most `limit`."""
+    clean = F.filter(F.transform(values, strip), lambda x: x.isNotNull() & (x != "") & ~fold(x).isin([*generic, ""]))
+    low = F.transform(clean, fold)
+    out = F.filter(clean, lambda x, i: F.array_position(low, fold(x)) == i + 1)
     return F.slice(out, 1, limit) if limit is not None else out
 
 
+def promoted(values: Column, objects: Column, limit: int, generic: list[str] = GENERIC) -> Column:
+    """Keywords filled up to `limit` with objects that are none of them."""
+    none = F.array().cast("array<string>")
+    return keywords(F.concat(F.coalesce(values, none), F.coalesce(objects, none)), generic, limit)
+
+
 def rerank_text(summary: Column, words: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("요약: "), F.coalesce(summary, F.lit(""))), F.concat(F.lit("키워드: "), F.array_join(F.coalesce(words, F.array().cast("array<string>")), ", ")))
 

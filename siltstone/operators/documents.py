@@ -108,6 +108,13 @@ def chunk_rows(docs: DataFrame, size: int, overlap: int = 0, id_col: str = "asse
     return docs.select(id_col, F.posexplode(chunks(F.split(text_col, "\n"), size, overlap)).alias("chunk_index", "chunk"))
 
 
+def document_vectors(chunks: DataFrame, ids: DataFrame, embed, size: int, id_col: str = "asset_id") -> DataFrame:
+    """(id, chunk_index, embedding) of chunks; a document of `ids` without a chunk has one zero vector at index 0."""
+    own = chunks.select(id_col, "chunk_index", embed("chunk").alias("embedding"))
+    none = ids.select(id_col).join(chunks.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.lit(0).alias("chunk_index"), F.array_repeat(F.lit(0.0), size).alias("embedding"))
+    return own.unionByName(none)
+
+
 def timeline(rows: DataFrame, by: str, order: list[str], text: str) -> DataFrame:
     """(by, text): texts of a group in order, one a line."""
     item = F.struct(*order, text)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources.scratch import written
 
 # Verdicts that count as judged.
 JUDGED = ["strong", "weak", "none"]
@@ -164,21 +165,33 @@ def stratified(rows: DataFrame, by: list[str], per_cell: int, seed: int, id_col:
     return rows.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= per_cell).drop("__i")
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with i, their place in the order from 0: a sort over ranges, then the rows of the ranges before."""
+    ranged = written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__at", 33).cast("int")
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a range
+    before, starts = 0, []
+    for p in sorted(sizes):
+        starts += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    first = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return ranged.withColumn("i", first.cast("long") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+
+
 def strided(rows: DataFrame, n: int, id_col: str) -> DataFrame:
     """`n` rows spread evenly over the order of ids."""
-    w = Window.orderBy(id_col)
     total = rows.count()
     if total <= n:
         return rows
-    # positions come from a ranked id column alone
-    at = rows.select(id_col).withColumn("i", F.row_number().over(w) - 1).where(F.floor((F.col("i") * n) / total) != F.floor(((F.col("i") - 1) * n) / total))
+    i = F.col("i")
+    at = numbered(rows.select(id_col), [id_col]).where(F.floor((i * n) / total) != F.floor(((i - 1) * n) / total))
     return rows.join(at.select(id_col), id_col, "left_semi")
 
 
 def percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Nearest-rank p95 and upper median by group."""
-    v = F.collect_list(N.finite(F.col(value)))
-    return rows.groupBy(*by).agg(N.nearest_rank(v, 0.95).alias("p95"), F.get(F.array_sort(v), F.floor(F.size(v) / 2).cast("int")).alias("median"))
+    """Nearest-rank p95 and upper median by group: exact, from counts of distinct values that are combined before they meet."""
+    v = rows.select(*by, N.finite(F.col(value)).alias("v"))
+    return v.groupBy(*by).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)").alias("median"))
 
 
 def snapshot_tables(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:

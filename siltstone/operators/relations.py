@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 
-# Kinds that rest on similarity alone; statuses that end a relation; defaults of the policies.
+# Kinds that rest on similarity alone; defaults of the policies; topic of a proposal that names none.
 SIMILARITY_KINDS = ["duplicate_near", "same_domain"]
-TERMINAL = ["rejected", "expired"]
 PERSIST_FLOOR, AUTO_APPROVE_OFF, MAX_ATTEMPTS = 0.70, 1.01, 3
+TOPIC_KO, TOPIC_EN = "일반", "general"
 UUID_TEXT = f"^{T.UUID}$"
 
 
@@ -43,13 +43,32 @@ def union_candidates(by_embedding: DataFrame, by_path: DataFrame) -> DataFrame:
     return kept.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("side", "rank"))).select("source", "target", "sim", "side", "position")
 
 
+def proposal_topics(e: Column) -> Column:
+    """struct(topic_ko, subtopic_ko, topic_en, subtopic_en, topic_auto) of a proposed edge.
+
+    Other names of a field count where it is blank. Without a topic the first word of the reason's first line stands in, or else the default;
+    topic_auto says so.
+    """
+    some = lambda *names: F.coalesce(*[T.blank_to_null(e[n]) for n in names])
+    ko = T.blank_to_null(T.topic_word(some("topic_ko", "topic")))
+    first = T.blank_to_null(T.topic_word(T.blank_to_null(F.substring_index(T.strip(e["reason"]), "\n", 1))))
+    return F.struct(
+        F.coalesce(ko, first, F.lit(TOPIC_KO)).alias("topic_ko"),
+        F.coalesce(T.topic_word(some("subtopic_ko", "sub_topic_ko", "subtopic")), F.lit("")).alias("subtopic_ko"),
+        F.coalesce(T.blank_to_null(T.topic_words_en(some("topic_en"))), F.lit(TOPIC_EN)).alias("topic_en"),
+        F.coalesce(T.topic_words_en(some("subtopic_en", "sub_topic_en")), F.lit("")).alias("subtopic_en"),
+        ko.isNull().alias("topic_auto"),
+    )
+
+
 def parse_proposals(raw: DataFrame) -> DataFrame:
-    """(source, seq, target, kind_code, confidence, reason, topic_ko, malformed) from model answers (source, answer).
+    """(source, seq, target, kind_code, confidence, reason, topic_ko, subtopic_ko, topic_en, subtopic_en, topic_auto, malformed) from model answers (source, answer).
 
     An answer holds "edges" or "items", or is one edge; what is no JSON object gives one malformed row.
     """
-    edge = "array<struct<target_media_item_id:string,relation_type_code:string,confidence:string,reason:string,topic_ko:string>>"
-    one = edge[6:-1]
+    names = ["target_media_item_id", "relation_type_code", "confidence", "reason", "topic_ko", "topic", "subtopic_ko", "sub_topic_ko", "subtopic", "topic_en", "subtopic_en", "sub_topic_en"]
+    one = f"struct<{','.join(f'{n}:string' for n in names)}>"
+    edge = f"array<{one}>"
     got = raw.select(
         "source",
         F.from_json("answer", f"struct<edges:{edge},items:{edge},target_media_item_id:string>").alias("a"),
@@ -65,10 +84,10 @@ def parse_proposals(raw: DataFrame) -> DataFrame:
         T.kind_code(F.col("e.relation_type_code")).alias("kind_code"),
         N.confidence(F.col("e.confidence")).alias("confidence"),
         F.col("e.reason").alias("reason"),
-        T.topic_word(F.coalesce(T.blank_to_null(F.col("e.topic_ko")), F.lit("일반"))).alias("topic_ko"),
+        proposal_topics(F.col("e")).alias("t"),
         (~F.coalesce("ok", F.lit(False))).alias("malformed"),
     )
-    return out.where("malformed or target is not null")
+    return out.where("malformed or target is not null").select("source", "seq", "target", "kind_code", "confidence", "reason", "t.*", "malformed")
 
 
 def accepted(proposals: DataFrame, candidates: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -123,7 +142,7 @@ def reduce_batch(incoming: DataFrame) -> DataFrame:
     A fresh single row keeps a null confidence; a repeated key counts nulls as 0.
     """
     conf = F.coalesce("confidence", F.lit(0.0))
-    surest = F.struct(conf, -F.col("seq"))
+    surest = F.struct(conf, -F.col("seq"), F.coalesce("reason", F.lit("")), F.coalesce("topic", F.lit("")))  # rows of one seq: the later texts
     return incoming.groupBy(*KEY).agg(
         F.when(F.count("*") == 1, F.max("confidence")).otherwise(F.max(conf)).alias("confidence"),
         F.max_by("reason", surest).alias("reason"),
@@ -249,8 +268,10 @@ def promote_kind(kinds: DataFrame, code: str) -> DataFrame:
     return kinds.withColumn("status", F.when((F.col("kind_code") == code) & (F.col("status") == "inactive"), "active").otherwise(F.col("status")))
 
 
-def list_kinds(kinds: DataFrame, status: str | None = None, hide_legacy: bool = False) -> DataFrame:
+def list_kinds(kinds: DataFrame, status: str | None = None, hide_legacy: bool = False, code: str | None = None) -> DataFrame:
+    """The catalogue by code, of a status, without codes that are no longer proposed, or the row of one code."""
     own = kinds.where(F.col("status") == status) if status else kinds
+    own = own.where(F.col("kind_code") == T.kind_code(F.lit(code))) if code else own
     own = own.where(~F.col("kind_code").isin(T.LEGACY_KINDS)) if hide_legacy else own
     return own.orderBy("kind_code")
 

@@ -6,17 +6,26 @@ query_id, bucket, asset_id, similarity, cos (null if only lexical), lexical, mat
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from datetime import date, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..sources.scratch import written
+from .vectors import with_direction
 
 K1, B = 1.2, 0.75
 SAMPLE = 50
+QUERY_BLOCK = 1024
+DIGITS = 9  # scores are rounded before they are ranked, so that sums in another order do not change ties
+TERM_ROWS = 1_000_000
 GROUP = ["query_id", "bucket"]
 
 # Fields of the lexical query with boost and the name under which a hit is observed.
@@ -74,7 +83,8 @@ class Filters:
             return date.fromisoformat(x) if len(x) == 10 else datetime.fromisoformat(x.replace("Z", "+00:00"))
 
         exts = file_ext.split(",") if isinstance(file_ext, str) else file_ext or []
-        out = cls(tuple(sorted({e.strip().lstrip(".").lower() for e in exts} - {""})), when(created_from), when(created_to), (topic or "").strip() or None, (subtopic or "").strip() or None)
+        fold = lambda e: unicodedata.normalize("NFKC", e).strip().lstrip(".").casefold()
+        out = cls(tuple(sorted({fold(e) for e in exts} - {""})), when(created_from), when(created_to), (topic or "").strip() or None, (subtopic or "").strip() or None)
         return out if out != cls() else None
 
     def column(self) -> Column:
@@ -102,11 +112,27 @@ def buckets(assets: DataFrame, wanted: list[str]) -> DataFrame:
     return assets.withColumn("bucket", of).where("bucket is not null")
 
 
-def postings(docs: DataFrame, field: str, id_col: str = "asset_id") -> DataFrame:
-    """(field, term, id, tf, dl) of a text or array-of-text column; documents without a term have no row."""
+def field_words(docs: DataFrame, field: str, id_col: str = "asset_id") -> DataFrame:
+    """(id, w): the words of a text or array-of-text column."""
     text = F.col(field) if dict(docs.dtypes)[field] == "string" else F.array_join(field, " ")
-    words = docs.select(id_col, T.tokens(F.coalesce(text, F.lit(""))).alias("w"))
-    return words.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
+    return docs.select(id_col, T.tokens(F.coalesce(text, F.lit(""))).alias("w"))
+
+
+def postings(docs: DataFrame, field: str, id_col: str = "asset_id", terms: DataFrame | None = None) -> DataFrame:
+    """(field, term, id, tf, dl) of a column; documents without a term have no row. With `terms` only of these terms.
+
+    The terms of a bounded query set are broadcast, so that other words are dropped before the count.
+    """
+    each = field_words(docs, field, id_col).select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        own = terms.select("term").distinct()
+        each = each.join(F.broadcast(own) if own.limit(TERM_ROWS + 1).count() <= TERM_ROWS else own, "term", "left_semi")
+    return each.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
+
+
+def stored_postings(docs: DataFrame, field: str, terms: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """The same, written once to the shared folder for all that reads them."""
+    return written(postings(docs, field, id_col, terms), f"postings-{field}")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -116,10 +142,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(index: DataFrame, n_docs: DataFrame, terms: DataFrame, operator: str = "or", id_col: str = "asset_id") -> DataFrame:
-    """(query_id, id, score, hits) of one field.
+    """(query_id, id, score, hits) of one field from its postings, of query terms at least.
 
-    Only the postings of query terms are read on after the join; the document frequencies come from the same
-    reduced postings. With "and" a document needs every term. `n_docs` has one row (n, avgdl).
+    With "and" a document needs every term. `n_docs` has one row (n, avgdl).
     """
     own = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
@@ -131,9 +156,9 @@ def bm25(index: DataFrame, n_docs: DataFrame, terms: DataFrame, operator: str =
     return (scored.where("hits = n_terms") if operator == "and" else scored).select("query_id", id_col, "score", "hits")
 
 
-def field_stats(index: DataFrame, id_col: str = "asset_id") -> DataFrame:
-    """One row (n, avgdl) over documents that hold the field."""
-    return index.select(id_col, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def field_stats(docs: DataFrame, field: str, id_col: str = "asset_id") -> DataFrame:
+    """One row (n, avgdl) over documents that hold the field; words are counted, not listed."""
+    return field_words(docs, field, id_col).select(F.size("w").alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int, operator: str = "and", id_col: str = "asset_id") -> DataFrame:
@@ -146,14 +171,14 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int, operator: str = "and",
     terms = query_terms(queries)
     parts, cross = [], []
     for field in ("keywords", "file_name", "summary"):
-        index = postings(docs, field, id_col)
+        index = stored_postings(docs, field, terms, id_col)
         boost, name = CLAUSES[field]
-        parts.append(bm25(index, field_stats(index, id_col), terms, operator, id_col).select("query_id", id_col, (F.col("score") * boost).alias("score"), F.lit(name).alias("name")))
+        parts.append(bm25(index, field_stats(docs, field, id_col), terms, operator, id_col).select("query_id", id_col, (F.col("score") * boost).alias("score"), F.lit(name).alias("name")))
         if field in CROSS:
             cross.append(index.withColumn("boost", F.lit(CROSS[field])))
-    whole = cross[0].unionByName(cross[1]).join(terms.select("term").distinct(), "term", "left_semi")
+    whole = cross[0].unionByName(cross[1])
     n = docs.agg(F.count("*").alias("n"))
-    avg = whole.groupBy("field").agg(F.avg("dl").alias("avgdl"))
+    avg = field_stats(docs, "keywords", id_col).withColumn("field", F.lit("keywords")).unionByName(field_stats(docs, "summary", id_col).withColumn("field", F.lit("summary"))).select("field", "avgdl")
     df = whole.groupBy("term", "field").agg(F.count("*").alias("f")).groupBy("term").agg(F.max("f").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -168,18 +193,85 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int, operator: str = "and",
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    total = hits.groupBy("query_id", id_col).agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("name")).alias("matched_queries")).join(docs.select(id_col, "bucket"), id_col)
+    total = hits.groupBy("query_id", id_col).agg(F.round(F.sum("score"), DIGITS).alias("score"), F.array_sort(F.collect_set("name")).alias("matched_queries")).join(docs.select(id_col, "bucket"), id_col)
     order = Window.partitionBy(*GROUP).orderBy(F.desc("score"), F.asc(id_col))
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*GROUP, id_col, "score", "matched_queries", "rank")
 
 
 def vector_hits(docs: DataFrame, queries: DataFrame, sample: int, id_col: str = "asset_id") -> DataFrame:
-    """Best `sample` by cosine per query and bucket; docs (id, bucket, embedding) are filtered before, queries (query_id, vector) are few."""
-    good = docs.withColumn("n", N.norm(F.col("embedding"))).where("n > 0")
-    pairs = good.join(queries.select("query_id", "vector"))  # a stated query set against all documents
-    cos = N.dot(F.col("embedding"), F.col("vector")) / (F.col("n") * N.norm(F.col("vector")))
+    """Best `sample` by cosine per query and bucket; docs (id, bucket, embedding) are filtered before, queries have query_id, vector.
+
+    Queries are taken in blocks of bounded size, each broadcast as a matrix; a task multiplies it with its documents and
+    gives its own best of each query and bucket, which a ranked window merges. Vectors without direction, and documents
+    whose length differs from the query's, have no cosine.
+    """
+    good = with_direction(docs).select(id_col, "bucket", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    asked = with_direction(queries, "vector").select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    q_kind, d_kind = (kinds[df.schema[c].dataType.simpleString()] for df, c in ((asked, "query_id"), (good, id_col)))
+    out = f"query_id {asked.schema['query_id'].dataType.simpleString()}, bucket string, {id_col} {good.schema[id_col].dataType.simpleString()}, cos double"
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        held: dict[int, tuple[list, np.ndarray]] = {}
+        for qid, v in zip(rows["query_id"].to_pylist(), rows["v"].to_pylist()):
+            ids, vectors = held.setdefault(len(v), ([], []))
+            ids.append(qid)
+            vectors.append(np.array(v) / np.linalg.norm(v))
+        shared = docs.sparkSession.sparkContext.broadcast({n: (ids, np.array(m)) for n, (ids, m) in held.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int, str], tuple[np.ndarray, list]] = {}
+            for whole in batches:
+                for i in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(i, 1024)
+                    size = np.diff(batch["v"].offsets.to_numpy())
+                    flat, edge = batch["v"].values.to_numpy(zero_copy_only=False), batch["v"].offsets.to_numpy()
+                    ids, bucket = batch[id_col].to_pylist(), np.array(batch["bucket"].to_pylist(), object)
+                    for n, (_, matrix) in shared.value.items():
+                        for name in set(bucket[size == n].tolist()):
+                            at = np.flatnonzero((size == n) & (bucket == name))
+                            v = flat[(edge[at][:, None] + np.arange(n)).astype(np.int64)]
+                            cos = matrix @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                            for k in range(len(matrix)):
+                                old = best.get((n, k, name))
+                                score = cos[k] if old is None else np.r_[old[0], cos[k]]
+                                own = [ids[j] for j in at] if old is None else [*old[1], *(ids[j] for j in at)]
+                                if len(own) > sample:  # all that tie with the last stay
+                                    bar = np.partition(score, len(score) - sample)[len(score) - sample]
+                                    keep = np.flatnonzero(score >= bar - 2 * 10.0**-DIGITS)
+                                    score, own = score[keep], [own[j] for j in keep]
+                                best[n, k, name] = score, own
+            for (n, k, name), (score, own) in best.items():
+                qid = shared.value[n][0][k]
+                yield pa.record_batch([pa.array([qid] * len(own), q_kind), pa.array([name] * len(own)), pa.array(own, d_kind), pa.array(score)], names=["query_id", "bucket", id_col, "cos"])
+
+        parts.append(good.mapInArrow(run, out))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
     order = Window.partitionBy(*GROUP).orderBy(F.desc("cos"), F.asc(id_col))
-    return pairs.withColumn("cos", cos).where("cos is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select(*GROUP, id_col, "cos", "rank")
+    return hits.withColumn("cos", F.round("cos", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+
+
+def fuse(lex: DataFrame, knn: DataFrame, k: int, w_bm25: float = 0.5, w_knn: float = 0.5, id_col: str = "asset_id", carry: DataFrame | None = None) -> DataFrame:
+    """Min-max each side within its group, add the weighted sides over a full outer join; only the first k vector hits take part.
+
+    Columns of `carry` (id, ...: metadata, about, kwtext, rrtext) come along with the ids that are left.
+    """
+    a = lex.withColumn("a", N.min_max(F.col("score"), *GROUP)).select(*GROUP, id_col, "a", *[c for c in ("matched_queries",) if c in lex.columns])
+    b = knn.where(F.col("rank") <= k).withColumn("b", N.min_max(F.col("cos"), *GROUP)).select(*GROUP, id_col, "b", "cos")
+    both = a.join(b, [*GROUP, id_col], "full_outer")
+    out = both.select(
+        *GROUP,
+        id_col,
+        (w_bm25 * F.coalesce("a", F.lit(0.0)) + w_knn * F.coalesce("b", F.lit(0.0))).alias("similarity"),
+        "cos",
+        F.col("a").isNotNull().alias("lexical"),
+        (F.col("matched_queries") if "matched_queries" in lex.columns else F.lit(None).cast("array<string>")).alias("matched_queries"),
+    )
+    return out if carry is None else out.join(carry, id_col, "left")
 
 
 def fuse(lex: DataFrame, knn: DataFrame, k: int, w_bm25: float = 0.5, w_knn: float = 0.5, id_col: str = "asset_id") -> DataFrame:
@@ -266,25 +358,50 @@ def rerank(rows: DataFrame, top_r: int = 10, tau: float = 0.0, id_col: str = "as
     return moved.join(slots, [*GROUP, "j"]).withColumn("pos", F.col("j")).drop("j").unionByName(tail)
 
 
-def bucket_policy(fused: DataFrame, signal: DataFrame, k: int, tuning: Tuning = Tuning(), mode: str = "auto", queries: DataFrame | None = None, id_col: str = "asset_id") -> DataFrame:
-    """Gate, cut, lexical rescue, evidence filter and limit of every group, with gate_passed, keep_reason, rank.
+@dataclass(frozen=True)
+class Policy:
+    """The functions that decide within a bucket; replace one to try another rule."""
+
+    passes: Callable[[DataFrame, float, float], DataFrame] = gate
+    cut: Callable[[float], Column] = survives_cut
+    rescue: Callable[[Column, str, bool], Column] = rescue_reason
+    reorder: Callable[[DataFrame, int, float, str], DataFrame] = rerank
+
+
+def bucket_policy(fused: DataFrame, signal: DataFrame, k: int, tuning: Tuning = Tuning(), mode: str = "auto", queries: DataFrame | None = None, id_col: str = "asset_id", policy: Policy = Policy()) -> DataFrame:
+    """Gate, cut, lexical rescue, evidence filter and limit of every group, with gate_passed, keep_reason, rank and cut_count.
 
-    Order: without cutoff all rows pass; a passed gate cuts rows (and reranks, if rows have a rerank_score); a failed one keeps lexical rows
-    with evidence if the operator is "and", else none.
+    Order: without cutoff all rows pass; a passed gate cuts rows (and reranks, by the column rerank_score); a failed one keeps lexical rows
+    with evidence if the operator is "and", else none. cut_count is what gate, cut, rerank, rescue and filter took from the group, the
+    limit left out. A switch whose columns are missing is an error.
     """
-    gated = fused.join(gate(signal, tuning.cutoff_eps, tuning.cutoff_floor).select(*GROUP, "passed"), GROUP, "left").withColumn("gate_passed", F.lit(not tuning.cutoff_enabled) | F.coalesce("passed", F.lit(False))).drop("passed")
-    reason = rescue_reason(F.col("matched_queries"), mode, tuning.evidence_rescue_enabled)
+    if tuning.rerank_enabled and "rerank_score" not in fused.columns:
+        raise ValueError("reranking needs a column rerank_score")
+    if tuning.about_filter_enabled and (queries is None or not {"about", "kwtext"} <= set(fused.columns)):
+        raise ValueError("the evidence filter needs queries and the columns about and kwtext")
+    gated = fused.join(policy.passes(signal, tuning.cutoff_eps, tuning.cutoff_floor).select(*GROUP, "passed"), GROUP, "left").withColumn("gate_passed", F.lit(not tuning.cutoff_enabled) | F.coalesce("passed", F.lit(False))).drop("passed")
+    gated = gated.withColumn("fused_count", F.count("*").over(Window.partitionBy(*GROUP)))
+    reason = policy.rescue(F.col("matched_queries"), mode, tuning.evidence_rescue_enabled)
     rescue = F.when(F.lit(tuning.bm25_operator == "and") & F.col("lexical"), reason)
-    own = gated.withColumn("keep_reason", F.when(F.lit(not tuning.cutoff_enabled), "gate_passed").when(F.col("gate_passed"), F.when(survives_cut(tuning.result_floor), "gate_passed")).otherwise(rescue))
+    own = gated.withColumn("keep_reason", F.when(F.lit(not tuning.cutoff_enabled), "gate_passed").when(F.col("gate_passed"), F.when(policy.cut(tuning.result_floor), "gate_passed")).otherwise(rescue))
     kept = own.where(F.col("keep_reason").isNotNull() & ~F.startswith(F.col("keep_reason"), F.lit("dropped")))
-    if tuning.rerank_enabled and "rerank_score" in kept.columns:
-        passed = rerank(kept.where("gate_passed"), tuning.rerank_top_r, tuning.rerank_tau, id_col)
+    if tuning.rerank_enabled and tuning.cutoff_enabled:
+        passed = policy.reorder(kept.where("gate_passed"), tuning.rerank_top_r, tuning.rerank_tau, id_col)
         kept = passed.unionByName(kept.where("not gate_passed").withColumn("pos", F.lit(None).cast("int")))
-    if tuning.about_filter_enabled and queries is not None and {"about", "kwtext"} <= set(kept.columns):
+    if tuning.about_filter_enabled:
         kept = about_filter(kept, queries, tuning.about_max_ratio)
     order = [F.asc_nulls_last("pos")] if "pos" in kept.columns else []
-    w = Window.partitionBy(*GROUP).orderBy(*order, F.desc("similarity"), F.asc(id_col))
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("pos", "rerank_score", "about", "kwtext")
+    w = Window.partitionBy(*GROUP)
+    kept = kept.withColumn("cut_count", F.col("fused_count") - F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order, F.desc("similarity"), F.asc(id_col))))
+    return kept.where(F.col("rank") <= k).drop("pos", "rerank_score", "about", "kwtext", "rrtext", "fused_count")
+
+
+def gate_report(fused: DataFrame, signal: DataFrame, kept: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
+    """(query_id, bucket, top, baseline, gate_passed, lexical_evidence, cut_count, error): one row a group that had any hit; error is false, since a failed part fails the job."""
+    n = fused.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("lexical").alias("lexical_evidence"))
+    cut = kept.groupBy(*GROUP).agg(F.max("cut_count").alias("cut"))
+    own = n.join(gate(signal, tuning.cutoff_eps, tuning.cutoff_floor), GROUP, "full_outer").join(cut, GROUP, "left")
+    return own.select(*GROUP, F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("baseline", F.lit(0.0)).alias("baseline"), (F.lit(not tuning.cutoff_enabled) | F.coalesce("passed", F.lit(False))).alias("gate_passed"), F.coalesce("lexical_evidence", F.lit(False)).alias("lexical_evidence"), F.coalesce("cut", "n", F.lit(0)).alias("cut_count"), F.lit(False).alias("error"))
 
 
 def normalise_query(tagged: DataFrame) -> DataFrame:
@@ -308,12 +425,53 @@ def verified(rows: DataFrame, verdicts: DataFrame, top_n: int = 3, id_col: str =
     return rows.join(judged.where("full and not keep").select("query_id", id_col), ["query_id", id_col], "left_anti")
 
 
-def search_hybrid(docs: DataFrame, queries: DataFrame, modalities: list[str], k: int = 20, tuning: Tuning = Tuning(), filters: Filters | None = None, mode: str = "auto") -> DataFrame:
-    """The whole read path: docs (asset_id, modality, keywords, labels, file_name, summary, embedding), queries (query_id, query, vector)."""
+def rerank_texts(docs: DataFrame, ids: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """(id, rrtext): the text that a reranker reads, of the wanted ids alone."""
+    return docs.join(ids.select(id_col).distinct(), id_col, "left_semi").select(id_col, T.rerank_text(F.col("summary"), F.col("keywords")).alias("rrtext"))
+
+
+def search_hybrid(
+    docs: DataFrame,
+    queries: DataFrame,
+    modalities: list[str],
+    k: int = 20,
+    tuning: Tuning = Tuning(),
+    filters: Filters | None = None,
+    mode: str = "auto",
+    exclude_medical: bool = False,
+    normalise: Callable[[DataFrame], DataFrame] | None = None,
+    rerank_fn: Callable[[Column, Column], Column] | None = None,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
+    policy: Policy = Policy(),
+) -> tuple[DataFrame, DataFrame]:
+    """The whole read path: (rows, one row of gate figures a group).
+
+    docs: asset_id, modality, keywords, labels, file_name, summary, embedding, perhaps about, kwtext, domain_label and columns that
+    `filters` names; queries: query_id, query, vector. `normalise` gets (query_id, query) and gives what the lexical side, the reranker and
+    the filter read. `rerank_fn` scores (query, text) where tuning says so. `judge` gets the rows of each query's first three and gives
+    (query_id, asset_id, keep); it is asked for queries of three words or more.
+    """
     unknown = [m for m in modalities if m not in MODALITIES]
     if unknown:
         raise ValueError(f"unknown modality: {unknown}")
-    own = buckets(docs.where(filters.column()) if filters else docs, modalities)
-    lex = lexical(own, queries, k, tuning.bm25_operator)
-    knn = vector_hits(own.select("asset_id", "bucket", "embedding"), queries, max(k, SAMPLE))
-    return bucket_policy(fuse(lex, knn, k, tuning.weight_bm25, tuning.weight_knn), gate_signal(knn), k, tuning, mode, queries)
+    if tuning.rerank_enabled and rerank_fn is None:
+        raise ValueError("reranking needs a function")
+    own = docs.where(filters.column()) if filters else docs
+    own = buckets(own.where("domain_label is null or domain_label <> 'medical'") if exclude_medical else own, modalities)
+    asked = queries if normalise is None else normalise(queries.select("query_id", "query")).join(queries.drop("query"), "query_id")
+    lex = written(lexical(own, asked, k, tuning.bm25_operator), "lexical")
+    knn = written(vector_hits(own.select("asset_id", "bucket", "embedding"), asked, max(k, SAMPLE)), "vector-hits")
+    fused = fuse(lex, knn, k, tuning.weight_bm25, tuning.weight_knn)
+    if tuning.about_filter_enabled:
+        fused = fused.join(own.select("asset_id", "about", "kwtext"), "asset_id", "left")
+    if tuning.rerank_enabled:
+        fused = fused.join(rerank_texts(own, fused), "asset_id", "left").join(asked.select("query_id", "query"), "query_id").withColumn("rerank_score", rerank_fn(F.col("query"), F.col("rrtext"))).drop("query")
+    fused = written(fused, "fused")
+    signal = gate_signal(knn)
+    rows = bucket_policy(fused, signal, k, tuning, mode, asked.select("query_id", "query"), policy=policy)
+    meta = gate_report(fused, signal, rows, tuning)
+    if judge is not None:
+        long_ = queries.where(F.size(F.split(T.squeeze(F.col("query")), " ")) >= 3).select("query_id")
+        rows = written(rows, "unverified")
+        rows = verified(rows, judge(merged_ranking(rows).where("rank <= 3").join(long_, "query_id", "left_semi")))
+    return rows, meta

@@ -52,30 +52,46 @@ def linked_pairs(edges: DataFrame) -> DataFrame:
 def same_topic_groups(topics: DataFrame, sources: DataFrame, edges: DataFrame, max_topics: int = 12, max_subtopics: int = 12, max_assets: int = 8) -> DataFrame:
     """(source, topic, subtopic, n, asset, already_linked, position): assets of the sources' topics, grouped.
 
-    Counts are taken before the caps. Named subtopics come first, the larger before the smaller.
+    Counts are taken before the caps. Named subtopics come first, the larger before the smaller. Assets are ranked and capped
+    within their own group once, so a source meets a few of each group, not all members of its topic.
     """
-    own = topics.where(F.coalesce("topic", F.lit("")) != "").select("asset_id", "topic", T.blank_to_null(F.col("subtopic")).alias("subtopic"))
-    wanted = own.join(sources.select("asset_id"), "asset_id", "left_semi").select(F.col("asset_id").alias("source"), "topic")
-    met = wanted.join(own.withColumnRenamed("asset_id", "asset"), "topic").where("source <> asset")
-    group = ["source", "topic", "subtopic"]
-    n = met.groupBy(*group).agg(F.count("*").alias("n"))
-    ranked = n.withColumn("sub_rank", F.row_number().over(Window.partitionBy("source", "topic").orderBy(F.col("subtopic").isNull(), F.desc("n"), F.asc_nulls_last("subtopic"))))
-    big = n.groupBy("source", "topic").agg(F.sum("n").alias("t")).withColumn("topic_rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("t"), "topic")))
-    kept = ranked.join(big, ["source", "topic"]).where((F.col("sub_rank") <= max_subtopics) & (F.col("topic_rank") <= max_topics))
-    rows = met.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("asset"))).where(F.col("position") <= max_assets)
-    k = kept.select("source", "topic", F.col("subtopic").alias("s"), "n", "sub_rank", "topic_rank")
-    out = rows.join(k, (rows.source == k.source) & (rows.topic == k.topic) & rows.subtopic.eqNullSafe(k.s)).select(rows.source, rows.topic, "subtopic", "n", "asset", "position", "sub_rank", "topic_rank")
+    own = topics.where(F.coalesce("topic", F.lit("")) != "").select("asset_id", "topic", F.coalesce(T.blank_to_null(F.col("subtopic")), F.lit("")).alias("subtopic"))
+    group = ["topic", "subtopic"]
+    sizes = own.groupBy(*group).agg(F.count("*").alias("total"))
+    heads = own.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("asset_id"))).where(F.col("r") <= max_assets + 1)  # one may be the source
+    mine = own.join(sources.select("asset_id"), "asset_id", "left_semi").groupBy(F.col("asset_id").alias("source"), *group).agg(F.count("*").alias("own"))
+    met = mine.select("source", "topic").distinct().join(sizes, "topic").join(mine, ["source", *group], "left")
+    met = met.withColumn("n", F.col("total") - F.coalesce("own", F.lit(0))).where("n > 0")
+    sub = Window.partitionBy("source", "topic").orderBy(F.col("subtopic") == "", F.desc("n"), F.asc("subtopic"))
+    ranked = met.withColumn("sub_rank", F.row_number().over(sub)).withColumn("t", F.sum("n").over(Window.partitionBy("source", "topic")))
+    ranked = ranked.withColumn("topic_rank", F.dense_rank().over(Window.partitionBy("source").orderBy(F.desc("t"), "topic")))
+    kept = ranked.where((F.col("sub_rank") <= max_subtopics) & (F.col("topic_rank") <= max_topics)).select("source", *group, "n", "sub_rank", "topic_rank")
+    rows = kept.join(heads.select(*group, F.col("asset_id").alias("asset")), group).where("source <> asset")
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("source", *group).orderBy("asset"))).where(F.col("position") <= max_assets)
     pairs = linked_pairs(edges).select(F.col("a").alias("source"), F.col("b").alias("asset"), F.lit(True).alias("l"))
-    return out.join(pairs, ["source", "asset"], "left").withColumn("already_linked", F.coalesce("l", F.lit(False))).drop("l")
+    return rows.join(pairs, ["source", "asset"], "left").select("source", "topic", F.nullif("subtopic", F.lit("")).alias("subtopic"), "n", "asset", "position", "sub_rank", "topic_rank", F.coalesce("l", F.lit(False)).alias("already_linked"))
+
+
+def own_topic(topics: DataFrame) -> DataFrame:
+    """The topic rows of assets with weight 1."""
+    return topics.where(F.coalesce("topic", F.lit("")) != "").withColumn("weight", F.lit(1))
+
+
+def english_labels(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """`rows` with topic_en of their topic from the top level of the registry, null where it has none."""
+    top = registry.where("parent_topic is null").groupBy(F.col("topic_ko").alias("topic")).agg(F.min(T.blank_to_null(F.col("topic_en"))).alias("topic_en"))
+    return rows.join(top, "topic", "left")
 
 
 def canonical_topics(raw: DataFrame, registry: DataFrame, aliases: DataFrame, classify: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw with canonical and decided_by, aliases to freeze) for topic names (column topic).
 
+    The closed vocabulary is the registry's top level from the taxonomy (column source, where there is one).
     Blank names and an empty registry pass names through; then an exact name, an alias, and last `classify`, which gets the distinct
     residue (topic) and returns (topic, canonical); what it leaves or names outside the registry is UNASSIGNED.
     """
-    top = registry.where("parent_topic is null").select("topic_ko").distinct()
+    own = registry.where("source = 'taxonomy'") if "source" in registry.columns else registry
+    top = own.where("parent_topic is null").select("topic_ko").distinct()
     if top.isEmpty():
         return raw.withColumns({"canonical": F.col("topic"), "decided_by": F.lit("passthrough")}), aliases.where("false")
     exact = top.select(F.col("topic_ko").alias("topic"), F.col("topic_ko").alias("exact"))

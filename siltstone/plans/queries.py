@@ -54,18 +54,20 @@ sc AS (SELECT query_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS r FROM sc) WHERE r <= 10")
 def bm25_or(spark, d):
     """BM25 over all documents for every benchmark item, best ten."""
-    index = S.postings(X.load(spark, d, "documents"), "text", "doc_id")
-    terms = S.query_terms(X.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    got = S.bm25(index, S.field_stats(index, "doc_id"), terms, "or", "doc_id").withColumn("score", F.round("score", 5))
+    got = _bm25(spark, d, "or").withColumn("score", F.round("score", 5))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return got.withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "doc_id", "score")
 
 
+def _bm25(spark, d, operator):
+    docs = X.load(spark, d, "documents")
+    terms = S.query_terms(X.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    return S.bm25(S.stored_postings(docs, "text", terms, "doc_id"), S.field_stats(docs, "text", "doc_id"), terms, operator, "doc_id")
+
+
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 5) AS score FROM sc JOIN nq USING (query_id) WHERE hits = n_terms")
 def bm25_and(spark, d):
-    index = S.postings(X.load(spark, d, "documents"), "text", "doc_id")
-    terms = S.query_terms(X.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    return S.bm25(index, S.field_stats(index, "doc_id"), terms, "and", "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return _bm25(spark, d, "and").select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 def _sides(spark, d):
@@ -208,8 +210,8 @@ def candidate_union(spark, d):
 
 
 def _incoming(spark, d):
-    """A batch with repeated keys: one row a line item of the parts with even keys."""
-    lines = X.load(spark, d, "lineitem").where("l_partkey % 2 = 0")
+    """A batch with repeated keys: one row a line item."""
+    lines = X.load(spark, d, "lineitem")
     return lines.select(
         F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.col("l_returnflag").alias("kind_code"), F.when(F.col("l_quantity") > 45, None).otherwise(F.round(F.col("l_tax") * 12, 2)).alias("confidence"),
         F.col("l_linestatus").alias("reason"), F.concat(F.lit("t"), "l_linenumber").alias("topic"), F.lit("proposed").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
@@ -220,8 +222,8 @@ def _existing(spark, d):
     return X.graph_edges(spark, d).where("kind_code <> 'N'").select(*R.KEY, "confidence", F.lit("old").alias("reason"), F.lit("old").alias("topic"), "status")
 
 
-_MERGE = """, inc AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS kind_code, CASE WHEN l_quantity > 45 THEN NULL ELSE round(l_tax * 12, 2) END AS confidence, l_linestatus AS reason, 't' || l_linenumber AS topic, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 2 = 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY src, dst, kind_code ORDER BY coalesce(confidence, 0) DESC, seq) AS i, count(*) OVER (PARTITION BY src, dst, kind_code) AS c FROM inc),
+_MERGE = """, inc AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS kind_code, CASE WHEN l_quantity > 45 THEN NULL ELSE round(l_tax * 12, 2) END AS confidence, l_linestatus AS reason, 't' || l_linenumber AS topic, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+rk AS (SELECT *, row_number() OVER (PARTITION BY src, dst, kind_code ORDER BY coalesce(confidence, 0) DESC, seq, reason DESC, topic DESC) AS i, count(*) OVER (PARTITION BY src, dst, kind_code) AS c FROM inc),
 n AS (SELECT src, dst, kind_code, CASE WHEN c = 1 THEN confidence ELSE coalesce(confidence, 0) END AS confidence, reason, topic FROM rk WHERE i = 1),
 o AS (SELECT src, dst, kind_code, confidence, 'old' AS reason, 'old' AS topic, status FROM edge WHERE kind_code <> 'N')
 SELECT src, dst, kind_code, CASE WHEN o.status IS NULL THEN n.confidence WHEN n.reason IS NULL THEN o.confidence ELSE greatest(coalesce(o.confidence, 0), coalesce(n.confidence, 0)) END AS confidence,
@@ -333,7 +335,7 @@ def topic_assets(spark, d):
 
 @query(
     with_views(
-        """, o AS (SELECT asset_id, topic, nullif(subtopic, '') AS subtopic FROM topic), s AS (SELECT asset_id AS source, topic FROM o WHERE asset_id % 50 = 21), m AS (SELECT source, topic, subtopic, asset_id AS asset FROM s JOIN o USING (topic) WHERE source <> asset_id),
+        """, o AS (SELECT asset_id, topic, nullif(subtopic, '') AS subtopic FROM topic), m AS (SELECT s.asset_id AS source, topic, o.subtopic, o.asset_id AS asset FROM o s JOIN o USING (topic) WHERE s.asset_id <> o.asset_id),
 n AS (SELECT source, topic, subtopic, count(*) AS n FROM m GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY source, topic ORDER BY subtopic IS NULL, n DESC, subtopic) AS sub_rank FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, topic, subtopic ORDER BY asset) AS position FROM m)
 SELECT r.source, r.topic, r.subtopic, k.n, r.asset, CAST(r.position AS INTEGER) AS position, abs(r.asset - r.source) = 20 AS already_linked FROM r JOIN k ON k.source = r.source AND k.topic = r.topic AND k.subtopic IS NOT DISTINCT FROM r.subtopic WHERE sub_rank <= 12 AND position <= 8""",
@@ -341,14 +343,15 @@ SELECT r.source, r.topic, r.subtopic, k.n, r.asset, CAST(r.position AS INTEGER)
     )
 )
 def same_topic_groups(spark, d):
+    """The groups of all assets that have a topic."""
     t = X.asset_topics(spark, d)
     edges = t.select(F.col("asset_id").alias("src"), (F.col("asset_id") + 20).alias("dst"))
-    return P.same_topic_groups(t, t.where("asset_id % 50 = 21"), edges).select("source", "topic", "subtopic", "n", "asset", "position", "already_linked")
+    return P.same_topic_groups(t, t, edges).select("source", "topic", "subtopic", "n", "asset", "position", "already_linked")
 
 
 @query("SELECT doc_id, topic, CASE WHEN topic IN ('en', 'de') THEN topic WHEN topic = 'fr' THEN 'de' ELSE '미분류' END AS canonical, CASE WHEN topic IN ('en', 'de') THEN 'exact' WHEN topic = 'fr' THEN 'alias' ELSE 'classified' END AS decided_by FROM (SELECT doc_id, lang AS topic FROM documents)")
 def canonical_topics(spark, d):
-    registry = spark.createDataFrame([("en", None), ("de", None), ("x", "en")], "topic_ko string, parent_topic string")
+    registry = spark.createDataFrame([("en", None, "taxonomy"), ("de", None, "taxonomy"), ("es", None, "auto"), ("x", "en", "taxonomy")], "topic_ko string, parent_topic string, source string")
     aliases = spark.createDataFrame([("fr", "de", "seed", None)], "raw_ko string, canonical_ko string, decided_by string, parent_topic string")
     return P.canonical_topics(X.load(spark, d, "documents").select("doc_id", F.col("lang").alias("topic")), registry, aliases)[0]
 
@@ -399,12 +402,18 @@ def index_rows(spark, d):
     return rows.select("asset_id", "modality", "summary", F.col("lang").alias("topic"), F.size("embedding").cast("long").alias("dim"))
 
 
-@query(with_views("SELECT asset_id, modality, CASE WHEN asset_id % 2 = 0 THEN NULL ELSE reverse(summary) END AS summary FROM asset WHERE asset_id % 3 = 0 UNION ALL SELECT asset_id, modality, summary FROM asset WHERE asset_id % 3 = 1", "asset"))
+@query(
+    with_views(
+        """, o AS (SELECT asset_id, modality, summary FROM asset WHERE status = 'registered'), i AS (SELECT asset_id, CASE WHEN lang <> 'en' THEN reverse(summary) END AS summary FROM asset WHERE status <> 'registered' OR modality = 'text')
+SELECT asset_id, modality, CASE WHEN i.asset_id IS NULL THEN o.summary ELSE i.summary END AS summary FROM o FULL JOIN i USING (asset_id)""",
+        "asset",
+    )
+)
 def index_upsert(spark, d):
-    """A column-subset merge: nulls of the incoming rows overwrite."""
-    a = X.assets(spark, d).select("asset_id", "modality", "summary").where("asset_id % 3 < 2")
-    new = a.where("asset_id % 3 = 0").select("asset_id", F.when(F.col("asset_id") % 2 != 0, F.reverse("summary")).alias("summary"))
-    return D.merge_rows(a, new, ["asset_id"])
+    """A column-subset merge of registered assets with a batch of texts and of assets that are new: nulls of the incoming rows overwrite."""
+    a = X.assets(spark, d)
+    new = a.where("status <> 'registered' or modality = 'text'").select("asset_id", F.when(F.col("lang") != "en", F.reverse("summary")).alias("summary"))
+    return D.merge_rows(a.where("status = 'registered'").select("asset_id", "modality", "summary"), new, ["asset_id"])
 
 
 @query("SELECT user_id, array_to_string(list_sort(list(k)), ',') AS readable FROM (SELECT DISTINCT user_id, event_type AS k FROM events WHERE event_type <> 'error') GROUP BY 1")
@@ -532,19 +541,81 @@ def confidence_bands(spark, d):
     return X.graph_edges(spark, d).select(*R.KEY, N.band(F.col("confidence")).alias("band"))
 
 
-@query()
+_CHUNKS = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+t AS (SELECT doc_id, i, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM l),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS seq, CASE WHEN length(s) <= 500 THEN s ELSE substr(s, CAST(j * 500 + 1 AS BIGINT), 500) END AS t, length(s) > 500 AS cut
+      FROM (SELECT doc_id, i, s, unnest(CASE WHEN length(s) <= 500 THEN [0] ELSE range(0, (length(s) - 1) // 500 + 1) END) AS j FROM t WHERE s <> '')),
+p AS (SELECT doc_id, seq, t, cut, 0 AS k, length(t) AS size FROM c WHERE seq = 1
+      UNION ALL SELECT c.doc_id, c.seq, c.t, c.cut, CASE WHEN c.cut OR p.cut OR p.size + 1 + length(c.t) > 500 THEN p.k + 1 ELSE p.k END, CASE WHEN c.cut OR p.cut OR p.size + 1 + length(c.t) > 500 THEN length(c.t) ELSE p.size + 1 + length(c.t) END
+      FROM p JOIN c ON c.doc_id = p.doc_id AND c.seq = p.seq + 1),
+g AS (SELECT doc_id, k, string_agg(t, chr(10) ORDER BY seq) AS c FROM p GROUP BY 1, 2)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CASE WHEN k = 0 THEN c ELSE regexp_replace(right(lag(c) OVER (PARTITION BY doc_id ORDER BY k), 50) || chr(10) || c, '^\s+|\s+$', '', 'g') END AS chunk FROM g"""
+
+
+@query(_CHUNKS)
 def chunked_documents(spark, d):
     """Documents in chunks of 500 characters that overlap by 50."""
     return D.chunk_rows(X.load(spark, d, "documents"), 500, 50, "doc_id")
 
 
-@query()
+def _field_sql(name: str, words: str, boost: float) -> str:
+    return f"""{name}_w AS (SELECT asset_id, {words} AS w FROM d), {name}_tf AS (SELECT asset_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT asset_id, len(w) AS dl, unnest(w) AS term FROM {name}_w) GROUP BY 1, 2),
+{name}_st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}_w WHERE len(w) > 0), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1),
+{name}_s AS (SELECT query_id, asset_id, '{name}' AS f, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN {name}_tf USING (term) JOIN {name}_df USING (term), {name}_st GROUP BY query_id, asset_id, n_terms HAVING count(*) = n_terms)"""
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')".format
+_HYBRID = f""", d AS (SELECT asset_id, modality AS bucket, lang, regexp_replace(fs_path, '^.*/', '') AS file, summary FROM asset WHERE status = 'registered'),
+ask AS (SELECT item_id AS query_id, text AS query, item_id AS vec_id FROM benchmark UNION ALL SELECT * FROM (VALUES (-1, 'en', 10), (-2, 'De ', 11), (-3, 'fr', 12), (-4, 'es es', 13)) AS v),
+qt AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT query_id, list_distinct({_WORDS('query')}) AS w FROM ask)),
+{_field_sql('k', _WORDS('lang'), 2.0)}, {_field_sql('f', _WORDS('file'), 0.5)}, {_field_sql('s', _WORDS('summary'), 3.0)},
+nd AS (SELECT count(*) AS n FROM d), xt AS (SELECT asset_id, term, tf, dl, 2.0 AS b, avgdl FROM k_tf, k_st UNION ALL SELECT asset_id, term, tf, dl, 3.0, avgdl FROM s_tf, s_st),
+xdf AS (SELECT term, max(df) AS df FROM (SELECT * FROM k_df UNION ALL SELECT * FROM s_df) GROUP BY 1),
+xb AS (SELECT term, asset_id, max(b * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM xt JOIN xdf USING (term), nd GROUP BY 1, 2),
+x_s AS (SELECT query_id, asset_id, 'x' AS f, sum(s) AS score FROM qt JOIN xb USING (term) GROUP BY query_id, asset_id, n_terms HAVING count(*) = n_terms),
+l_s AS (SELECT query_id, asset_id, 'l' AS f, ln(1 + (n - df + 0.5) / (df + 0.5)) AS score FROM ask JOIN d ON lower(trim(query)) = lang JOIN (SELECT lang, count(*) AS df FROM d GROUP BY 1) USING (lang), nd),
+hit AS (SELECT * FROM k_s UNION ALL SELECT * FROM f_s UNION ALL SELECT * FROM s_s UNION ALL SELECT * FROM x_s UNION ALL SELECT * FROM l_s),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC, asset_id) AS rank FROM (SELECT query_id, bucket, asset_id, round(sum(score), 9) AS score, list(f) AS m FROM hit JOIN d USING (asset_id) GROUP BY 1, 2, 3)) WHERE rank <= 10),
+mv AS (SELECT asset_id, list(x ORDER BY pos) AS v FROM (SELECT asset_id, pos, avg(x) AS x FROM (SELECT asset_id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM emb WHERE channel = 'st') GROUP BY 1, 2) GROUP BY 1),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY cos DESC, asset_id) AS rank FROM (SELECT query_id, bucket, asset_id, round(list_dot_product(mv.v, q.v) / sqrt(list_dot_product(mv.v, mv.v) * list_dot_product(q.v, q.v)), 9) AS cos
+  FROM mv JOIN d USING (asset_id), (SELECT query_id, CAST(embedding AS DOUBLE[]) AS v FROM ask JOIN embeddings USING (vec_id)) q)) WHERE rank <= 50),
+na AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS a FROM lex WINDOW w AS (PARTITION BY query_id, bucket)),
+nb AS (SELECT *, CASE WHEN max(cos) OVER w = min(cos) OVER w THEN 1.0 ELSE (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) END AS b FROM knn WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id, bucket)),
+fused AS (SELECT query_id, bucket, asset_id, 0.5 * coalesce(a, 0) + 0.5 * coalesce(b, 0) AS similarity, cos, a IS NOT NULL AS lexical, m FROM na FULL JOIN nb USING (query_id, bucket, asset_id)),
+sig AS (SELECT query_id, bucket, max(cos) AS top, coalesce(avg(CASE WHEN i <= c // 2 THEN cos END), 0) AS baseline FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY cos, rank) AS i, count(*) OVER (PARTITION BY query_id, bucket) AS c FROM knn) GROUP BY 1, 2),
+g AS (SELECT f.*, coalesce(top - baseline >= 0.12 - 1e-9 AND top >= 0.15 - 1e-9, false) AS gate_passed, count(*) OVER (PARTITION BY query_id, bucket) AS n_fused,
+  CASE WHEN list_contains(m, 'k') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(m, 'l') THEN 2.0 ELSE 0 END + CASE WHEN list_contains(m, 'f') THEN 1.5 ELSE 0 END + CASE WHEN list_contains(m, 's') THEN 0.7 ELSE 0 END + CASE WHEN list_contains(m, 'x') AND NOT list_has_any(m, ['k', 'l', 'f']) THEN 0.3 ELSE 0 END AS e FROM fused f LEFT JOIN sig USING (query_id, bucket)),
+kr AS (SELECT *, CASE WHEN gate_passed THEN CASE WHEN lexical OR cos >= 0.1 - 1e-9 THEN 'gate_passed' END WHEN lexical AND e >= 1.5 THEN 'evidence_normal' END AS keep_reason FROM g),
+kept AS (SELECT *, n_fused - count(*) OVER (PARTITION BY query_id, bucket) AS cut_count, row_number() OVER (PARTITION BY query_id, bucket ORDER BY similarity DESC, asset_id) AS rank FROM kr WHERE keep_reason IS NOT NULL)"""
+
+
+def _hybrid(spark, d):
+    own = X.assets(spark, d).where("status = 'registered'").join(V.mean_vector(X.asset_embeddings(spark, d).where("channel = 'st'"), ["asset_id"]), "asset_id", "left")
+    docs = own.select("asset_id", "modality", F.array("lang").alias("keywords"), F.array("lang").alias("labels"), T.display_name(F.col("fs_path")).alias("file_name"), "summary", "embedding")
+    few = spark.createDataFrame([(-1, "en", 10), (-2, "De ", 11), (-3, "fr", 12), (-4, "es es", 13)], "query_id long, query string, vec_id long")
+    asked = X.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("item_id").alias("vec_id")).unionByName(few)
+    asked = asked.join(X.load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
+    return S.search_hybrid(docs, asked, ["text", "image", "video", "audio"], 10, S.Tuning(cutoff_eps=0.12, cutoff_floor=0.15, result_floor=0.1))
+
+
+@query(with_views(_HYBRID + " SELECT query_id, bucket, asset_id, round(similarity, 6) AS similarity, gate_passed, keep_reason, cut_count, CAST(rank AS INTEGER) AS rank FROM kept WHERE rank <= 10", "asset", "emb"))
 def hybrid_search(spark, d):
-    """Lexical and vector search over documents as assets: benchmark items are queries, hashed words stand in for a model."""
-    from ..functions.seams import embedder
-
-    embed = embedder()
-    docs = X.assets(spark, d).join(X.load(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), "text"), "asset_id").where("status = 'registered'")
-    own = docs.select("asset_id", "modality", F.array("lang").alias("keywords"), F.array("lang").alias("labels"), T.display_name(F.col("fs_path")).alias("file_name"), F.col("text").alias("summary"), embed("text").alias("embedding"))
-    asked = X.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), embed("text").alias("vector"))
-    return S.search_hybrid(own, asked, ["text", "image", "video", "audio"], 10, S.Tuning(bm25_operator="or")).select("query_id", "bucket", "asset_id", F.round("similarity", 6).alias("similarity"), "gate_passed", "keep_reason", "rank")
+    """The whole read path over documents as assets: benchmark items and names of languages are queries, with the vectors of the embeddings table."""
+    return _hybrid(spark, d)[0].select("query_id", "bucket", "asset_id", F.round("similarity", 6).alias("similarity"), "gate_passed", "keep_reason", "cut_count", "rank")
+
+
+@query(
+    with_views(
+        _HYBRID
+        + """ SELECT query_id, bucket, round(coalesce(top, 0), 6) AS top, round(coalesce(baseline, 0), 6) AS baseline, coalesce(top - baseline >= 0.12 - 1e-9 AND top >= 0.15 - 1e-9, false) AS gate_passed, coalesce(le, false) AS lexical_evidence, coalesce(c, n, 0) AS cut_count, false AS error
+FROM (SELECT query_id, bucket, count(*) AS n, bool_or(lexical) AS le FROM fused GROUP BY 1, 2) FULL JOIN sig USING (query_id, bucket) LEFT JOIN (SELECT query_id, bucket, max(cut_count) AS c FROM kept GROUP BY 1, 2) USING (query_id, bucket)""",
+        "asset",
+        "emb",
+    )
+)
+def hybrid_gates(spark, d):
+    """The gate figures of the same searches, one row a query and bucket."""
+    return _hybrid(spark, d)[1].select("query_id", "bucket", F.round("top", 6).alias("top"), F.round("baseline", 6).alias("baseline"), "gate_passed", "lexical_evidence", "cut_count", "error")
+
+
+from . import catalogue  # noqa: E402, F401  registers further queries

@@ -66,11 +66,18 @@ def modality_of(kind: Column) -> Column:
     return F.when(kind.isin("text", "txt", "json", "pdf", "word", "excel", "powerpoint"), "text").when(kind.isin("image", "video", "audio"), kind).otherwise("unknown")
 
 
+# The extension that a kind of text file has to have.
+EXTENSIONS = {"word": "docx", "excel": "xlsx", "powerpoint": "pptx", "pdf": "pdf", "json": "json", "text": "txt"}
+PART_CHARS = 4096
+
+
 def checked_kind(kind: Column, path: Column) -> Column:
-    """`kind`, or an error where it contradicts the extension."""
+    """`kind`, or an error where it and the extension contradict each other, whichever of both names a kind of text file."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    want = F.when(ext == "docx", "word").when(ext == "xlsx", "excel").when(ext == "pptx", "powerpoint").when(ext == "pdf", "pdf").when(ext == "json", "json")
-    return F.when(want.isNull() | (want == kind), kind).otherwise(F.raise_error(F.concat(F.lit("kind and extension differ: "), path)).cast("string"))
+    ok = F.lit(True)
+    for k, e in EXTENSIONS.items():
+        ok = ok & ((kind != k) | (ext == e)) & ((ext != e) | (kind == k))
+    return F.when(ok, kind).otherwise(F.raise_error(F.concat(F.lit("kind and extension differ: "), path)).cast("string"))
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -95,46 +102,65 @@ def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda b: bytes(b).decode(pick_encoding(bytes(b)), errors="replace"), na_action="ignore")
 
 
-def segments(files: DataFrame) -> DataFrame:
-    """(path, kind, position, segment) of files (path, kind, content): paragraphs, sheet rows, slides or pages.
-
-    Word, sheet, slide and PDF files need their libraries; a missing one is an error, not an empty file.
-    """
-
-    def parts(kind: str, data: bytes) -> Iterator[str]:
-        need = {"word": "docx", "excel": "openpyxl", "powerpoint": "pptx", "pdf": "pypdf"}.get(kind)
-        if need and importlib.util.find_spec(need) is None:
-            raise RuntimeError(f"{kind} files need {need}")
-        if kind == "word":
-            import docx
+def file_parts(kind: str, data: bytes) -> Iterator[str]:
+    """Paragraphs, sheet rows, slides and their shapes, pages, or parts of a plain text, one at a time; what has no text is left out."""
+    need = {"word": "docx", "excel": "openpyxl", "powerpoint": "pptx", "pdf": "pypdf"}.get(kind)
+    if need and importlib.util.find_spec(need) is None:
+        raise RuntimeError(f"{kind} files need {need}")
+    if kind == "word":
+        import docx
 
-            yield from (p.text for p in docx.Document(io.BytesIO(data)).paragraphs)
-        elif kind == "excel":
-            import openpyxl
+        yield from (p.text for p in docx.Document(io.BytesIO(data)).paragraphs)
+    elif kind == "excel":
+        import openpyxl
 
-            for sheet in openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True).worksheets:
+        book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
+        try:
+            for sheet in book.worksheets:
                 yield f"[시트] {sheet.title}"
                 for row in sheet.iter_rows(values_only=True):
-                    if cells := [str(c) for c in row if c not in (None, "")]:
-                        yield " | ".join(cells)
-        elif kind == "powerpoint":
-            import pptx
+                    texts = [str(c).strip() for c in row if c is not None]
+                    if any(texts):
+                        yield " | ".join(t for t in texts if t)
+        finally:
+            book.close()
+    elif kind == "powerpoint":
+        import pptx
+
+        for i, slide in enumerate(pptx.Presentation(io.BytesIO(data)).slides, 1):
+            yield f"[슬라이드] {i}"
+            yield from (str(s.text) for s in slide.shapes if getattr(s, "text", ""))
+    elif kind == "pdf":
+        import pypdf
+
+        yield from (p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages)
+    elif kind in ("text", "json"):
+        reader = io.TextIOWrapper(io.BytesIO(data), encoding=pick_encoding(data), errors="replace")
+        while part := reader.read(PART_CHARS):
+            yield part
+
+
+def segments(files: DataFrame) -> DataFrame:
+    """(path, kind, position, segment) of files (path, kind, content) whose kind and extension agree.
 
-            for i, slide in enumerate(pptx.Presentation(io.BytesIO(data)).slides, 1):
-                yield f"[슬라이드] {i}"
-                yield from (s.text for s in slide.shapes if getattr(s, "text", ""))
-        elif kind == "pdf":
-            import pypdf
+    Word, sheet, slide and PDF files need their libraries; a missing one is an error, not an empty file. Segments leave as they are
+    read, a bounded number at a time.
+    """
 
-            yield from (p.extract_text() for p in pypdf.PdfReader(io.BytesIO(data)).pages)
-        elif kind in ("text", "json"):
-            yield from data.decode(pick_encoding(data), errors="replace").split("\n")
+    def out(path: str, kind: str, first: int, own: list[str]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([path] * len(own)), pa.array([kind] * len(own)), pa.array(range(first, first + len(own)), pa.int32()), pa.array(own)], names=["path", "kind", "position", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, kind, data in zip(batch["path"].to_pylist(), batch["kind"].to_pylist(), batch["content"].to_pylist()):
-                own = list(parts(kind, data))
-                if own:
-                    yield pa.record_batch([pa.array([path] * len(own)), pa.array([kind] * len(own)), pa.array(range(len(own)), pa.int32()), pa.array(own)], names=["path", "kind", "position", "segment"])
-
-    return files.select("path", "kind", "content").mapInArrow(run, "path string, kind string, position int, segment string")
+            for path, kind, data in zip(batch["path"].to_pylist(), batch["kind"].to_pylist(), batch["content"]):
+                first, held = 0, []
+                for part in file_parts(kind, data.as_py()):
+                    if part:
+                        held.append(part)
+                    if len(held) == 1000:
+                        yield out(path, kind, first, held)
+                        first, held = first + len(held), []
+                if held:
+                    yield out(path, kind, first, held)
+
+    return files.select("path", checked_kind(F.col("kind"), F.col("path")).alias("kind"), "content").mapInArrow(run, "path string, kind string, position int, segment string")

@@ -59,7 +59,7 @@ def assets(spark: SparkSession, folder: str) -> DataFrame:
         _pick(pos % 4, ["text", "image", "video", "audio"]).alias("modality"),
         F.when(pos % 10 == 0, "failed").otherwise("registered").alias("status"),
         F.concat(F.lit("/data/"), "source", F.lit("/f"), F.expr("doc_id div 60").cast("string"), _pick(pos % 3, ["_v1.txt", "_v2.txt", "_summary.txt"])).alias("fs_path"),
-        F.substring("text", 1, 300).alias("summary"),
+        F.col("text").alias("summary"),
         F.col("n_chars").alias("file_size"),
         _pick(pos % 3, ["medical", "general", "review"]).alias("domain_label"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("created_at"),
@@ -95,7 +95,7 @@ def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
 # The same views for SQL engines.
 SQL_VIEWS = {
     "asset": """SELECT doc_id AS asset_id, ['text','image','video','audio'][(doc_id // 20) % 4 + 1] AS modality, CASE WHEN (doc_id // 20) % 10 = 0 THEN 'failed' ELSE 'registered' END AS status,
-      '/data/' || source || '/f' || (doc_id // 60) || ['_v1.txt','_v2.txt','_summary.txt'][(doc_id // 20) % 3 + 1] AS fs_path, left(text, 300) AS summary, n_chars AS file_size,
+      '/data/' || source || '/f' || (doc_id // 60) || ['_v1.txt','_v2.txt','_summary.txt'][(doc_id // 20) % 3 + 1] AS fs_path, text AS summary, n_chars AS file_size,
       ['medical','general','review'][(doc_id // 20) % 3 + 1] AS domain_label, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS created_at, lang FROM documents""",
     "emb": "SELECT vec_id // 4 AS asset_id, CASE WHEN label < 7 THEN 'st' ELSE 'clip' END AS channel, vec_id % 4 AS chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "topic": "SELECT doc_id AS asset_id, lang AS topic, CASE WHEN (doc_id // 20) % 5 = 0 THEN '' ELSE source END AS subtopic FROM documents WHERE (doc_id // 20) % 7 <> 0",

@@ -15,7 +15,7 @@ from ..sources.tables import current_version, read_snapshot, write_snapshot
 def upsert_stream(changes: DataFrame, root: str, key: list[str], order: str, checkpoint: str, columns: list[str] | None = None, build: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
     """Merge each micro-batch of `changes` into the snapshot at `root`; of several changes of a key the last by `order` counts.
 
-    `columns` limits the merge to a part of the columns; `build` makes documents of changes. A batch that is run again
+    Where the snapshot holds `order`, a change that comes late, after one that is newer, is left out. `columns` limits the merge to a part of the columns; `build` makes documents of changes. A batch that is run again
     after a failure gives the same snapshot, since the merge is by key.
     """
 
@@ -28,6 +28,9 @@ def upsert_stream(changes: DataFrame, root: str, key: list[str], order: str, che
             write_snapshot(rows, root)
         else:
             old = read_snapshot(spark, root)
+            if order in old.columns and order in rows.columns:
+                newer = old.select(*key, F.col(order).alias("__had"))
+                rows = rows.join(newer, key, "left").where(F.col("__had").isNull() | (F.col(order) >= F.col("__had"))).drop("__had")
             write_snapshot(merge_rows(old, rows, key, columns or [c for c in rows.columns if c not in key]), root)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("update")
