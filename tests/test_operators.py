@@ -134,7 +134,7 @@ def test_similarity_leaves_out_vectors_without_direction(spark):
 def test_similarity_blocks_change_nothing(spark, monkeypatch):
     df = spark.range(60).select(F.col("id").alias("asset_id"), F.lit("st").alias("channel"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 6)]).alias("embedding"))
     want = rows(V.similarity_candidates(df, df, 4))
-    monkeypatch.setattr(V, "SOURCE_BLOCK", 7)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 900)
     assert rows(V.similarity_candidates(df, df, 4)) == want
 
 
@@ -393,11 +393,13 @@ def test_files(spark, tmp_path):
     found = X.list_files(spark, str(tmp_path)).select("path", "content", X.sniffed_kind(F.col("content"), F.col("path")).alias("kind"))
     names = {r.path.rsplit("/", 1)[1]: r.kind for r in found.collect()}
     assert {k: v for k, v in names.items() if k != "_kept.txt"} == {"a.json": "json", "p.pdf": "pdf"}
-    assert rows(X.segments(found.where("kind = 'json'")), "position", "segment") == [(0, '{"a": 1}'), (1, "x")]
+    assert rows(X.segments(found.where("kind = 'json'")), "position", "segment") == [(0, '{"a": 1}\nx')]
     assert X.pick_encoding("한글".encode("cp949")) == "cp949"
     assert X.pick_encoding("한글".encode()[:-1]) == "utf-8"
-    with pytest.raises(PySparkException):
-        spark.createDataFrame([("text", "/a/b.pdf")], "k string, p string").select(X.checked_kind(F.col("k"), F.col("p"))).collect()
+    for kind, path in (("text", "/a/b.pdf"), ("pdf", "b.txt"), ("word", "b.md"), ("text", "b.md"), ("json", "b")):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(kind, path)], "k string, p string").select(X.checked_kind(F.col("k"), F.col("p"))).collect()
+    assert list(X.file_parts("text", ("x" * 5000).encode())) == ["x" * 4096, "x" * 904]
     h = X.file_hashes(found.where("kind = 'pdf'")).first()
     assert h.file_size == 10 and len(h.file_hash) == 64
 
