@@ -35,8 +35,11 @@ def hashed_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
     return out
 
 
-def embedder(embed: Callable[[list[str]], list[list[float]]] = hashed_embedding, retries: int = 2):
-    """Column function text -> array<double> in Arrow batches. Transport errors (OSError) are tried again; a wrong count or an empty vector is an error."""
+def embedder(embed: Callable[[list[str]], list] = hashed_embedding, retries: int = 2, unit: bool = False):
+    """Column function text -> array<double> in Arrow batches. Transport errors (OSError) are tried again; a wrong count or an empty vector is an error.
+
+    An answer is a vector a text, or (index, vector) pairs in any order. With `unit` vectors are brought to length 1.
+    """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -49,8 +52,15 @@ def embedder(embed: Callable[[list[str]], list[list[float]]] = hashed_embedding,
                 except OSError:
                     if attempt == retries:
                         raise
+            if got and isinstance(got[0], tuple):
+                if sorted(i for i, _ in got) != list(range(len(texts))):
+                    raise ValueError("the embedder left out or repeated an index")
+                got = [v for _, v in sorted(got, key=lambda x: x[0])]
             if len(got) != len(texts) or any(not len(v) for v in got):
                 raise ValueError("the embedder gave another number of vectors, or an empty one")
+            if unit:
+                norms = [math.sqrt(sum(x * x for x in v)) for v in got]
+                got = [[x / n for x in v] if n else v for v, n in zip(got, norms)]
             yield pd.Series(got, index=s.index)
 
     return run

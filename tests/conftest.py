@@ -9,10 +9,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from siltstone.session import session
 
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
