@@ -2,84 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from ..sources.scratch import delete, discard, scratch, scratch_path, shared_dir, written  # noqa: F401
 
-_scopes: list[list[str]] = []  # paths written within each open `scratch`
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session names none, a temporary folder is set if everything runs on one machine (as in tests); on a
-    cluster that is an error, since each machine would write to a folder of its own.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not jdir.isDefined():
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return jdir.get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-    for made in _scopes:
-        made.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
-
-    The files survive lost executors and are read by whichever executor needs them. They stay until `discard` or
-    the end of a `scratch` around the call, because the returned frame is lazy.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that `written` returned and that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what was written within. Save results outside of it, or before it ends, elsewhere."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for path in made:
-            delete(spark, path)
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only, leaving every other character alone."""
     return F.translate(col, UPPER, UPPER.lower())

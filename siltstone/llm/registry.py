@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_topk": maxscore.op10_topk,
 }
-SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op6_decontaminate": decontam.OP6_SQL, "op10_topk": maxscore.OP10_SQL}
+SQL = {"op3_shards": sharding.OP3_SQL, "op4_licences": licences.OP4_SQL, "op5_chat": chat.OP5_SQL, "op6_decontaminate": decontam.OP6_SQL, "op10_topk": maxscore.OP10_SQL}
