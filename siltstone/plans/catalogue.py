@@ -740,3 +740,138 @@ def streamed_lineage(spark, d):
     X.append_lineage(spark, root, rows.where("activity <> 'error'"))
     X.append_lineage(spark, root, rows.where("activity = 'error'"))
     return spark.read.parquet(root).where("occurred_at is not null").groupBy(F.col("asset_id").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+# --- models as seams, seeds, settings --------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 1 ELSE greatest(1, CAST(ceil(length(text) / 800.0) AS INTEGER)) END AS n_vectors, 64 AS dim, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS norm FROM (SELECT doc_id, left(regexp_replace(text, '\\s+', 'x', 'g'), 2000) AS text FROM documents UNION ALL SELECT -1, '')")
+def embedded_chunks(spark, d):
+    """Chunks of the first 2,000 characters, embedded by the stub; a document without text has one zero vector."""
+    from ..functions.seams import embedder
+
+    docs = X.load(spark, d, "documents").select("doc_id", F.left(F.regexp_replace("text", r"\s+", "x"), F.lit(2000)).alias("text")).unionByName(spark.createDataFrame([(-1, "")], "doc_id long, text string"))
+    got = D.document_vectors(D.chunk_rows(docs, 800, 0, "doc_id"), docs, embedder(unit=True), 64, "doc_id")
+    return got.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_vectors"), F.max(F.size("embedding")).alias("dim"), F.round(F.max(N.norm(F.col("embedding"))), 6).alias("norm"))
+
+
+@query("SELECT doc_id, left(string_agg(left(chunk, 12), chr(10) ORDER BY chunk_index), 12) AS summary FROM (" + "SELECT doc_id, unnest(range(len(l))) AS chunk_index, unnest(l) AS chunk FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)) GROUP BY 1 HAVING sum(length(chunk)) >= 40")
+def summaries(spark, d):
+    """Summaries of summaries of lines by a model that answers with the beginning; short texts have none."""
+    from ..functions.seams import summarise
+
+    lines = X.load(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")).alias("chunk_index", "chunk"))
+    return summarise(lines, _beginning, "doc_id", least=40).where("summary is not null")
+
+
+def _beginning(prompt: str) -> str:
+    return prompt[:12]
+
+
+@query("WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations) SELECT conv_id, string_agg('[' || turn || 's] ' || role, chr(10) ORDER BY turn, role) AS summary, CAST(count(*) AS INTEGER) AS n_scenes FROM l WHERE before IS NULL OR before <> role GROUP BY 1")
+def scene_summaries(spark, d):
+    """Scenes in order of time, repeats of the one before left out; turns of conversations stand in."""
+    from ..functions.seams import video_summary
+
+    return video_summary(X.load(spark, d, "conversations").select("conv_id", F.col("turn").cast("double").alias("start_s"), F.col("role").alias("caption")), "conv_id")
+
+
+@query(with_views("SELECT asset_id, '요약: ' || summary || chr(10) || '키워드: ' || lang AS rrtext FROM asset WHERE asset_id IN (SELECT asset_id FROM emb)", "asset", "emb"))
+def rerank_texts(spark, d):
+    """What a reranker reads of the assets that were found."""
+    a = X.assets(spark, d)
+    return S.rerank_texts(a.select("asset_id", "summary", F.array("lang").alias("keywords")), X.asset_embeddings(spark, d))
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS i, n_name AS topic_ko, lower(n_name) AS topic_en FROM nation")
+def seeds_read(spark, d):
+    """A seed of topics written as JSON and read in its order."""
+    path = f"{shared_dir(spark)}/siltstone/seed-{uuid.uuid4().hex}"
+    n = X.load(spark, d, "nation")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("topic_ko"), F.lower("n_name").alias("topic_en")))), lambda x: F.struct(x["topic_ko"].alias("topic_ko"), x["topic_en"].alias("topic_en")))
+    Q.write_json(n.agg(rows.alias("topics")).select(F.to_json(F.struct(F.lit(1).alias("version"), "topics")).alias("value")), path)
+    return G.read_seed(spark, path, "topics")
+
+
+@query("SELECT n_name AS a, r_name AS b, 'in' AS kind, '' AS note FROM nation JOIN region ON r_regionkey = n_regionkey")
+def golden_read(spark, d):
+    """A golden set written as JSON, read and checked."""
+    path = f"{shared_dir(spark)}/siltstone/golden-{uuid.uuid4().hex}"
+    pairs = X.load(spark, d, "nation").join(X.load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("a"), F.col("r_name").alias("b"), F.lit("in").alias("kind"))).alias("pairs"))
+    Q.write_json(pairs.select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("fs_path").alias("key_type"), "pairs", F.array(F.lit("x")).alias("isolated"))).alias("value")), path)
+    return Q.read_golden(spark, path)[0]
+
+
+@query("SELECT n_name AS topic_ko, NULL AS parent_topic, 'taxonomy' AS source FROM nation UNION ALL SELECT DISTINCT s_name, n_name, 'seed' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name <> 'kept' UNION ALL SELECT 'kept', 'FRANCE', 'auto'")
+def seeded_topics(spark, d):
+    """A registry whose topics come from a seed and whose subtopics are kept and filled up."""
+    registry = spark.createDataFrame([("OLD", None, "auto"), ("kept", "FRANCE", "auto")], "topic_ko string, parent_topic string, source string")
+    aliases = spark.createDataFrame([], "raw_ko string, canonical_ko string, decided_by string, parent_topic string")
+    n = X.load(spark, d, "nation")
+    after, _ = P.apply_seed(registry, aliases, n.select(F.col("n_name").alias("topic_ko")), n.select(F.lower("n_name").alias("raw_ko"), F.col("n_name").alias("canonical_ko")))
+    subs = X.load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent_ko"), F.col("s_name").alias("subtopic_ko"))
+    return G.seed_subtopics(after, subs)
+
+
+@query("SELECT event_id, CASE WHEN k < 50 THEN 'k: not one of the values' ELSE '' END || CASE WHEN event_type = 'error' THEN CASE WHEN k < 50 THEN '|' ELSE '' END || 't: not number' ELSE '' END AS faults FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def schema_checks(spark, d):
+    """Values that break the schemas of their keys."""
+    check = D.schema_violations({"k": {"type": "integer", "enum": list(range(50, 1000))}, "t": {"type": "number"}})
+    k = F.get_json_object("props", "$.k").cast("long")
+    value = F.when(F.col("event_type") == "error", F.to_json(F.struct(k.alias("k"), F.lit("x").alias("t")))).otherwise(F.to_json(F.struct(k.alias("k"), F.lit(1).alias("t"))))
+    return X.load(spark, d, "events").select("event_id", F.array_join(check(value), "|").alias("faults"))
+
+
+@query(with_views(_PATHS + " SELECT asset_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE word END AS topic FROM n", "asset"))
+def name_topics(spark, d):
+    """Topics of file names as the corpus guard reads them."""
+    return _paths(spark, d).select("asset_id", T.topic_of_filename(T.basename(F.col("fs_path"))).alias("topic"))
+
+
+@query(with_views("SELECT s.name, s.value FROM (VALUES ('search.cutoff_eps', '0.18'), ('search.weights', '0.2,0.8'), ('relations.exempt', ''), ('relations.excluded', 'same_domain'), ('modalities', 'text,Image')) AS s(name, value)", "asset"))
+def settings_values(spark, d):
+    """Settings as they are read: a default, a pair, an emptied list, a list left alone, and a request's list of media."""
+    from .. import settings
+
+    s = settings.load({"embed.model": "m", "search.fusion_weights": "0.2, 0.8", "relations.review_exempt_kinds": ""})
+    rows = [("search.cutoff_eps", str(s.search.cutoff_eps)), ("search.weights", ",".join(map(str, s.search.fusion_weights))), ("relations.exempt", ",".join(sorted(s.relations.review_exempt_kinds))), ("relations.excluded", ",".join(sorted(s.relations.auto_approve_exclude_kinds))), ("modalities", ",".join(settings.parse_modalities(" text, Image,,")))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+def _first_candidate(prompt: str) -> str:
+    """A model that always relates the source to its first candidate."""
+    import json
+
+    lines = [x for x in prompt.split("\n") if x.startswith('{"target_media_item_id"')]
+    edges = [{"target_media_item_id": json.loads(lines[0])["target_media_item_id"], "relation_type_code": "references", "confidence": 0.9, "reason": "first of all"}] if lines else []
+    return json.dumps({"edges": edges})
+
+
+_UUID_OF = "substr(md5(CAST({0} AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST({0} AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST({0} AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST({0} AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST({0} AS VARCHAR)), 21, 12)".format
+
+
+@query(
+    with_views(
+        f""", a AS (SELECT asset_id AS n, {_UUID_OF('asset_id')} AS id, status, regexp_replace(fs_path, '/[^/]*$', '') AS dir, lower(regexp_replace(regexp_replace(fs_path, '^.*/', ''), '[.][^.]*$', '')) AS raw FROM asset), t AS (SELECT DISTINCT asset_id AS n FROM topic), r AS (SELECT a.* FROM a JOIN t USING (n) WHERE status = 'registered'),
+s AS (SELECT id FROM a JOIN t USING (n)), v AS (SELECT {_UUID_OF('asset_id')} AS id, v FROM emb WHERE channel = 'st'),
+p AS (SELECT x.id AS source, y.id AS target, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) AS sim FROM v x JOIN v y ON x.id <> y.id WHERE x.id IN (FROM s) AND y.id IN (SELECT id FROM r)),
+b AS (SELECT source, target, round(max(sim), 6) AS sim FROM p GROUP BY 1, 2 HAVING round(max(sim), 6) >= 0.2), ec AS (SELECT source, target, 0 AS side, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS rank FROM b),
+o AS (SELECT *, regexp_replace(raw, '(_v[0-9]+|_summary)$', '') AS base FROM r), pc AS (SELECT source, target, 1 AS side, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM (SELECT x.id AS source, y.id AS target, max(CASE WHEN x.raw = y.raw THEN 2 ELSE 1 END) AS score FROM o x JOIN o y ON x.dir = y.dir AND (x.raw = y.raw OR x.base = y.base) AND x.id <> y.id GROUP BY 1, 2)),
+f AS (SELECT source, first(target ORDER BY side, rank) AS target FROM (SELECT * FROM ec WHERE rank <= 10 UNION ALL SELECT * FROM pc WHERE rank <= 10) WHERE source IN (FROM s) GROUP BY 1)
+SELECT source AS src, target AS dst, 'references' AS kind_code, CAST(0.9 AS DOUBLE) AS confidence, 'first' AS topic, 'active' AS status FROM f""",
+        "asset",
+        "emb",
+        "topic",
+    )
+)
+def proposed_relations(spark, d):
+    """One batch over all sources that have a topic, with a model that takes the first candidate."""
+    from ..functions.seams import text_model
+
+    a, t, e = X.assets(spark, d), X.asset_topics(spark, d), X.asset_embeddings(spark, d)
+    own = lambda df: df.withColumn("asset_id", _uuid(F.col("asset_id")))
+    kinds = spark.createDataFrame([("references", "n", "d", False, "active")], "kind_code string, kind_name string, description string, is_symmetric boolean, status string")
+    none = spark.createDataFrame([], "src string, dst string, kind_code string, confidence double, reason string, topic string, status string")
+    meta = own(a.select("asset_id", "summary", F.col("lang").alias("keywords")))
+    got = O.propose(own(a.drop("summary")), meta, own(t), own(e), kinds, none, text_model(_first_candidate), ["en", "de"], auto_approve_min=0.8)
+    return got["edges"].select("src", "dst", "kind_code", "confidence", "topic", "status")
