@@ -26,7 +26,9 @@ SPELLINGS = [
     ("licenced", "licensed"),
     ("licencing", "licensing"),
     ("licencee", "licensee"),
+    ("licencees", "licensees"),
     ("licencor", "licensor"),
+    ("licencors", "licensors"),
     ("sublicence", "sublicense"),
     ("sublicences", "sublicenses"),
     ("sub license", "sublicense"),
@@ -67,7 +69,7 @@ VERSION = "version"  # before a digit: v
 
 # A line of its own: optional comment signs, then a copyright statement with a year, sign or "all rights reserved", or with
 # nothing but names (words that begin with a capital).
-COPYRIGHT_LINE = r"^[ \t#*/;%-]*(?:[Cc]opyright[ \t]*(?:\([Cc]\)|©|[0-9])|COPYRIGHT[ \t]*(?:\([Cc]\)|©|[0-9])|\([Cc]\)[ \t]|©|[Aa]ll [Rr]ights [Rr]eserved|ALL RIGHTS RESERVED|Copyright[ \t]+(?:by[ \t]+)?\p{Lu}[\p{L}.'&-]*(?:[ \t,]+(?:\p{Lu}[\p{L}.'&-]*|and|of|the))*[ \t,.]*$)[^\n]*$"
+COPYRIGHT_LINE = r"^[ \t#*/;%-]*(?:[Cc]opyright[ \t]*(?:\([Cc]\)|©|[0-9])|COPYRIGHT[ \t]*(?:\([Cc]\)|©|[0-9])|\([Cc]\)[ \t]*[0-9]|©|[Aa]ll [Rr]ights [Rr]eserved|ALL RIGHTS RESERVED|Copyright[ \t]+(?:by[ \t]+)?\p{Lu}[\p{L}.'&-]*(?:[ \t,]+(?:\p{Lu}[\p{L}.'&-]*|and|of|the))*[ \t,.]*$)[^\n]*$"
 # Comment signs at the start of a line and every other mark; letters, digits and line breaks stay.
 BROADCAST_ROWS = 200_000
 MARKS = r"[^\p{L}\p{N}\n]+"
@@ -153,7 +155,7 @@ OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
 }
 # SHA-256 of the canonical form of whole texts that are too long to stand here.
 DIGESTS: dict[str, str] = {
-    "Apache-2.0": "eac750ea114724399e19db328308c2d972f615b538f9ed58f0e8cd5dfc80361c",
+    "Apache-2.0": "eb41c243f4e78de2294633eb28804fd51be8a6c3ac48e0471016d5d685258f69",
     "Artistic-1.0-Perl": "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a",
     "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
     "GFDL-1.2": "53cf1660220ce2d9e60c564ca7603e1fe84a2db1624e924e38d0c32e4c9ebaf2",
@@ -164,8 +166,8 @@ DIGESTS: dict[str, str] = {
     "LGPL-2.0": "eb5825ab9395a7a4f736328f69a03f7eee07b1aa26ba4c4d3f5702de86eb8baa",
     "LGPL-2.1": "87ea21198dea6ba68eadf05c431e957dcf25eb311be3189e8e71bf921e60905c",
     "LGPL-3.0": "b9d017245d5b6307f6fc2b6dc02be9744eb7e632f313cf7b809a2cd3996db0f6",
-    "MPL-1.1": "f6546df62f9aa88021ef547576eb0d50b9ee6acd4616da77d8ee82dcd537c090",
-    "MPL-2.0": "6ca20eaa71a6aa8f6e2da667a7c6ac44f77742e478aa7473d1e51fef0c52e5b5",
+    "MPL-1.1": "bfb865a8271e34a1a03790d269cd6abd4ba4af074ef5a0857332faae1ec04715",
+    "MPL-2.0": "43f7582f942b6617ed7133e5fd1e16f4cb8cdd34587d9a02bc4579e55808ae40",
 }
 # Names under which one-line notices refer to a licence.
 NAMES = {
