@@ -118,6 +118,7 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = i, -self.score[i]
         self.text = {i: t for t, i in self.ids.items()}
+        self.longest = max(map(len, self.ids), default=1)
         self.base = len(pieces)  # ids from here on stand for single characters that go to bytes
         inside = {c for t in self.ids if len(t) > 1 for c in t} - {SPACE}
         if any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids):
@@ -164,62 +165,74 @@ class Transducer:
 
     def _arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
         """(piece, end, weight) of the arcs from a position of normalised text, shortest first; the bytes of a character without a piece first of all."""
-        out, node, end = [], self.trie, at
-        for c in text[at:]:
-            node = node.get(c)
-            if node is None:
+        out = [] if text[at] in self.ids else [(self.base + ord(text[at]), at + 1, _ESCAPE)]
+        node, end = self.trie, at
+        for c in text[at : at + self.longest]:
+            if c not in node:
                 break
-            end += 1
-            arc = node.get("")
-            if arc is not None:
-                out.append((arc[0], end, arc[1]))
-        if text[at] not in self.ids:
-            out.insert(0, (self.base + ord(text[at]), at + 1, _ESCAPE))
+            node, end = node[c], end + 1
+            if "" in node:
+                piece, weight = node[""]
+                out.append((piece, end, weight))
         return out
 
     def shortest(self, text: str) -> list[int]:
         """Pieces on the path of least weight; ids from `base` on are characters that go to bytes."""
-        bpe, rows = self.kind == BPE, self.rows
         if self.compiled >= PAIRS_HELD:
-            rows.clear()
+            self.rows.clear()
             self.compiled = 0
-        # states by position: last piece -> (weight, position before, last piece before); a unigram model remembers none
-        states: list[dict[int, tuple[float, int, int]] | None] = [None] * (len(text) + 1)
-        states[0] = {-1: (0.0, -1, -1)}
+        return self._bpe_path(text) if self.kind == BPE else self._unigram_path(text)
+
+    def _unigram_path(self, text: str) -> list[int]:
+        """States are positions: (weight, position before, piece)."""
+        states: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * len(text)
         for at in range(len(text)):
+            here = states[at]
+            if here is not None:
+                for piece, end, weight in self._arcs(text, at):
+                    old = states[end]
+                    if old is None or here[0] + weight < old[0]:
+                        states[end] = here[0] + weight, at, piece
+        out, at = [], len(text)
+        while at:
+            _, at, piece = states[at]
+            out.append(piece)
+        return out[::-1]
+
+    def _bpe_path(self, text: str) -> list[int]:
+        """States are (position, last piece): weight, position before, last piece before."""
+        size, rows = len(text), self.rows
+        if not size:
+            return []
+        states: list[dict[int, tuple[float, int, int]] | None] = [None] * (size + 1)
+        for piece, end, weight in self._arcs(text, 0):
+            states[end] = {piece: (weight, 0, -1)}
+        for at in range(1, size):
             here = states[at]
             if here is None:
                 continue
             arcs = self._arcs(text, at)
             for last, state in here.items():
-                before = state[0]
-                row = rows.get(last)
+                before, row = state[0], rows.get(last)
                 if row is None:
                     row = rows[last] = {}
                 for piece, end, weight in arcs:
-                    if bpe and at:
-                        ok = row.get(piece)
-                        if ok is None:
-                            ok = row[piece] = self._accepts(last, piece)
-                        if not ok:
-                            continue
-                    there = states[end]
-                    if there is None:
-                        there = states[end] = {}
-                    to = piece if bpe else -1
-                    old = there.get(to)
-                    if old is None or before + weight < old[0]:
-                        there[to] = (before + weight, at, last if bpe else piece)
-        out, at = [], len(text)
-        if bpe and at:
-            end = states[at]
-            last = min(end, key=lambda k: end[k][0])
-            while at:
-                out.append(last)
-                _, at, last = states[at][last]
+                    ok = row.get(piece)
+                    if ok is None:
+                        ok = row[piece] = self._accepts(last, piece)
+                    if ok:
+                        there = states[end]
+                        if there is None:
+                            states[end] = {piece: (before + weight, at, last)}
+                        else:
+                            old = there.get(piece)
+                            if old is None or before + weight < old[0]:
+                                there[piece] = before + weight, at, last
+        end = states[size]
+        last, at, out = min(end, key=lambda k: end[k][0]), size, []
         while at:
-            _, at, piece = states[at][-1]
-            out.append(piece)
+            out.append(last)
+            _, at, last = states[at][last]
         return out[::-1]
 
     def _unit(self, text: str) -> bytes:
