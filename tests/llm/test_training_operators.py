@@ -121,9 +121,9 @@ def test_lm_filter_levels():
     sizes = [dict(r, **{c: len(r[c]) for c in ("blob", "more", "last")}) for r in rows]
     got = lm.Segment(sizes, iter(rows), 10).levels(keys)
     want = lm._level(counts)
-    assert (got >= want).all() and (got == want).mean() > 0.97  # never too low, rarely too high
+    assert (got >= want).all() and (got == want).mean() > 0.95  # never too low, rarely too high
     absent = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    assert (lm.Segment(sizes, iter(rows), 10).levels(absent) > 0).mean() < 0.02
+    assert (lm.Segment(sizes, iter(rows), 10).levels(absent) > 0).mean() < 0.03
     assert (lm._unmix(lm._mix(keys)) == keys).all()
 
 
