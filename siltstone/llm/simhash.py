@@ -339,23 +339,24 @@ def _refused(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key.view(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(count)], names=["u", "v", "c"])
 
 
-def _wide_round(nodes: DataFrame, plan: tuple[int, int], hot: tuple[np.ndarray, np.ndarray] | None, seed: int, records: int) -> DataFrame:
-    """Links (u, v) of `nodes`, and keys refused (u, c); with `hot` of these keys only, in random blocks."""
+def _wide_round(nodes: DataFrame, masks: np.ndarray, only: np.ndarray | None, blocks: np.ndarray | None, seed: int, records: int) -> DataFrame:
+    """Links (u, v) of `nodes` under all keys or `only` these (sorted); keys that too many share are refused (u, c), or with `blocks` dealt out in as many random ones."""
     spark = nodes.sparkSession
-    held, n_parts, group = spark.sparkContext.broadcast((_key_masks(*plan), hot)), meeting.parts(spark, records), GROUP
+    held, n_parts, group = spark.sparkContext.broadcast((masks, only, blocks)), meeting.parts(spark, records), GROUP
 
     def records_(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        masks, hot = held.value
+        masks, only, blocks = held.value
         node, fps = batch["node"].to_numpy(), [batch[f].to_numpy().view(_U) for f in _FPS]
         for t, mask in enumerate(masks):
             key, at = np.full(len(node), t, _U), np.arange(len(node))
             for f, m in zip(fps, mask):
                 key = mix(key * _U(3) + (f & m))
-            if hot is not None:
-                spot = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
-                at = np.flatnonzero(hot[0][spot] == key)
-                blocks = (-(-hot[1][spot[at]] // group)).astype(_U)
-                key = mix(key[at] + _U(0x9E3779B97F4A7C15) * (mix(node[at].astype(_U) + _U(seed)) % blocks + _U(1)))
+            if only is not None:
+                spot = np.minimum(np.searchsorted(only, key), len(only) - 1)
+                at = np.flatnonzero(only[spot] == key)
+                key = key[at]
+                if blocks is not None:
+                    key = mix(key + _U(0x9E3779B97F4A7C15) * (mix(node[at].astype(_U) + _U(seed)) % blocks[spot[at]].astype(_U) + _U(1)))
             rows = np.empty(len(at), _NODE)
             rows["key"], rows["node"] = key, node[at]
             for name, f in zip(_FPS, fps):
@@ -366,39 +367,36 @@ def _wide_round(nodes: DataFrame, plan: tuple[int, int], hot: tuple[np.ndarray,
         yield from meeting.pack((rows for batch in batches for rows in records_(batch)), n_parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from meeting.meet(batches, _NODE, group if hot is None else None, _wide_links, _refused)
+        yield from meeting.meet(batches, _NODE, group if blocks is None else None, _wide_links, _refused)
 
-    return meeting.deal(nodes.select("node", *_FPS).mapInArrow(send, meeting.SENT)).mapInArrow(meet, "u long, v long, c long")
+    return written(meeting.deal(nodes.select("node", *_FPS).mapInArrow(send, meeting.SENT)).mapInArrow(meet, "u long, v long, c long"), "wide-links")
 
 
 def wide_links(nodes: DataFrame, jaccard_: float = SIMILAR) -> DataFrame:
     """(u, v): links of nodes (node, f0..) whose fingerprints differ in at most WIDE_BITS bits, u < v."""
     n = nodes.count()
-    plan, links, hot, seed = key_plan(n, jaccard_), [], None, 0
-    records = n * plan[1]
+    plan = key_plan(n, jaccard_)
+    masks, records = _key_masks(*plan), n * plan[1]
+    every, only, most, seed = [], None, None, 0
     while True:
-        out = written(_wide_round(nodes, plan, hot, seed, records), "wide-links")
-        links.append(out.where("v is not null").select("u", "v"))
-        got = out.where("v is null").groupBy("u").agg(F.sum("c").alias("c")).toArrow() if hot is None else None
-        if hot is None and not len(got):
+        out = _wide_round(nodes, masks, only, None, seed, records)
+        every.append(out.where("v is not null").select("u", "v"))
+        got = out.where("v is null").groupBy("u").agg(F.sum("c").alias("c")).toArrow()  # keys that over GROUP nodes share
+        records = int(sum(got["c"].to_pylist()))
+        if not records or most is not None and records > 0.9 * most:
             break
-        if hot is None:
-            key = got["u"].to_numpy().view(_U)
-            order = np.argsort(key)
-            hot = key[order], got["c"].to_numpy()[order]
-        elif hot[1].max() <= GROUP:
-            break
-        else:
-            # what is connected goes on as one: the keys keep as many nodes as have no link to a smaller one
-            nodes = written(nodes.join(out.where("v is not null").select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "wide-roots")
-            before, hot, seed = n, (hot[0], np.maximum(1, hot[1] * nodes.count() // max(1, n))), seed + 1
-            n = nodes.count()
-            if n > 0.9 * before:
-                break
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    return written(every.distinct(), "links")
+        key = got["u"].to_numpy().view(_U)
+        order = np.argsort(key)
+        only, most, seed = key[order], records, seed + 1
+        out = _wide_round(nodes, masks, only, -(-got["c"].to_numpy()[order] // GROUP), seed, records)
+        linked = out.where("v is not null").select("u", "v")
+        every.append(linked)
+        # what the blocks connect goes on as one: nodes with a link to a smaller one stand back
+        nodes = written(nodes.join(linked.select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "wide-roots")
+    links = every[0]
+    for x in every[1:]:
+        links = links.unionByName(x)
+    return written(links.distinct(), "links")
 
 
 def _checked(links: DataFrame, bodies: DataFrame, jaccard_: float) -> DataFrame:
