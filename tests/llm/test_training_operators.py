@@ -745,7 +745,7 @@ def test_columns_that_clash_by_case(spark):
     assert chat.read_back(chat.format_turns(turns)).first().n_turns == 1
     vectors = spark.createDataFrame([(0, [1.0], "x"), (1, [2.0], "y")], "a long, b array<double>, c string").toDF("vec_id", "embedding", "VEC_ID")
     assert maxscore.exact_topk(vectors, F.col("vec_id") == 0, k=3, scale=64.0).count() == 1
-    with pytest.raises(ValueError, match="2 columns"):
+    with pytest.raises(ValueError, match="columns are named"):
         common.place(df.toDF(*["text"] * 2, *names[2:]), "TEXT")
 
 
