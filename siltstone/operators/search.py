@@ -131,8 +131,12 @@ def postings(docs: DataFrame, field: str, id_col: str = "asset_id", terms: DataF
 
 
 def stored_postings(docs: DataFrame, field: str, terms: DataFrame, id_col: str = "asset_id") -> DataFrame:
-    """The same, written once to the shared folder for all that reads them."""
-    return written(postings(docs, field, id_col, terms), f"postings-{field}")
+    """The same, written once to the shared folder for all that reads them.
+
+    They are dealt out by document into a set number of tasks: a join with the queries multiplies a small table of postings.
+    """
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(postings(docs, field, id_col, terms), f"postings-{field}").repartition(spread, id_col)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
