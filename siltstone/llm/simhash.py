@@ -16,10 +16,15 @@ are found by keys of sampled bits: enough keys that a pair at the threshold meet
 more similar ones with a higher one. Links are then checked on the shingle sets themselves, so that no pair below the
 threshold counts; links inside a group that is connected already need no check.
 
-Copies are reduced to distinct fingerprints or shingle sets first. Within a large key the links are found by a search
-from each fingerprint to those not yet reached, and only a spanning forest is kept: as many links as fingerprints at
-most. In `similar_groups` a key under which more than `GROUP` fingerprints meet is dealt out in random blocks, and
-what the blocks connect goes on as one.
+Copies are reduced to distinct fingerprints or shingle sets first. In `near_duplicates` the links within a key are found
+by a search from each fingerprint to those not yet reached, and only a spanning forest is kept: as many links as
+fingerprints at most, and no connection lost, since every link counts.
+
+In `similar_groups` a link counts only once its sets are checked, so a forest is a first step there. A key has all of its
+links given, unless it is crowded: there are more than `DENSE` links a fingerprint, or more than `GROUP` fingerprints,
+which are then dealt out in random blocks. Crowded keys give a forest first; what its checked links connect is one group
+from there on, and then every link between different groups under these keys is found (a key too large for one task by
+all pairs of its blocks) and checked. So the fingerprints that share a key are all compared, however many they are.
 
 A null or empty text has no words: fingerprint 0, the empty set, linked like any other. A null id is kept; a component
 of null ids alone has a null id. Repeated rows give repeated results. Extra columns are ignored. No rows: no rows.
@@ -53,7 +58,8 @@ WIDE, WIDE_BITS = 4, 56  # words of 64 bits in a ring of 16-bit segments; bits t
 SIMILAR, NEAR_WORDS = 0.8, 5
 RECALL = 0.99
 MEET = 32  # fingerprints that share a key by chance, about
-ALL_PAIRS = 32
+ALL_PAIRS = 32  # fingerprints of a key whose pairs are taken together with those of others
+DENSE = 16  # links a fingerprint beyond which a key is crowded
 GROUP = 8192
 
 _U = np.uint64
@@ -305,8 +311,26 @@ def _wide_near(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return at[b[at].sum(axis=1) <= WIDE_BITS]
 
 
+def _some_pairs(own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs (a, b) of `own` that link; None if these are more than `most`."""
+    out, n = [(np.zeros(0, np.int64),) * 2], 0
+    for i in range(len(own) - 1):
+        rest = np.arange(i + 1, len(own))
+        got = rest[_wide_near(own, np.full(len(rest), i), rest)]
+        if len(got):
+            out.append((np.full(len(got), i), got))
+            n += len(got)
+            if n > most:
+                return None
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _linked(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "c"])
+
+
 def _wide_links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links within each key: all of a small group, a spanning forest of a larger one."""
+    """All links within each key; of a crowded one a spanning forest, its key and its count."""
     rows = rows[np.lexsort((rows["node"], rows["key"]))]
     fps, node, key = np.stack([rows[f] for f in _FPS], axis=1), rows["node"], rows["key"]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -323,16 +347,21 @@ def _wide_links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             b.append(near + step)
         step += 1
         at = at[left[at] >= step]
+    crowded = []
     for g in np.flatnonzero(size > ALL_PAIRS).tolist():
         first = edge[g]
         own = fps[first : edge[g + 1]]
-        x, y = forest(len(own), lambda i, rest, own=own: _wide_near(own, np.full(len(rest), i), rest))
-        a.append(first + x)
-        b.append(first + y)
+        got = _some_pairs(own, DENSE * len(own))
+        if got is None:
+            crowded.append(g)
+            got = forest(len(own), lambda i, rest, own=own: _wide_near(own, np.full(len(rest), i), rest))
+        a.append(first + got[0])
+        b.append(first + got[1])
+    if crowded:
+        yield _refused(key[edge[:-1][crowded]], size[crowded])
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     if len(u):
-        u, v = node[u], node[v]
-        yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "c"])
+        yield _linked(node[u], node[v])
 
 
 def _refused(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -372,31 +401,156 @@ def _wide_round(nodes: DataFrame, masks: np.ndarray, only: np.ndarray | None, bl
     return written(meeting.deal(nodes.select("node", *_FPS).mapInArrow(send, meeting.SENT)).mapInArrow(meet, "u long, v long, c long"), "wide-links")
 
 
-def wide_links(nodes: DataFrame, jaccard_: float = SIMILAR) -> DataFrame:
-    """(u, v): links of nodes (node, f0..) whose fingerprints differ in at most WIDE_BITS bits, u < v."""
+def wide_links(nodes: DataFrame, jaccard_: float = SIMILAR) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Links (u, v) of nodes (node, f0..) whose fingerprints differ in at most WIDE_BITS bits, u < v; the masks; the crowded keys and their counts.
+
+    All links of keys that are not crowded, some of the others: `_apart` finds the rest of these.
+    """
     n = nodes.count()
     plan = key_plan(n, jaccard_)
     masks, records = _key_masks(*plan), n * plan[1]
-    every, only, most, seed = [], None, None, 0
+    every, only, most, seed, crowded = [], None, None, 0, None
     while True:
         out = _wide_round(nodes, masks, only, None, seed, records)
         every.append(out.where("v is not null").select("u", "v"))
-        got = out.where("v is null").groupBy("u").agg(F.sum("c").alias("c")).toArrow()  # keys that over GROUP nodes share
-        records = int(sum(got["c"].to_pylist()))
+        got = out.where("v is null").groupBy("u").agg(F.sum("c").alias("c")).toArrow()
+        key, count = got["u"].to_numpy().view(_U), got["c"].to_numpy()
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        if crowded is None:
+            crowded = key, count
+        key, count = key[count > GROUP], count[count > GROUP]  # refused
+        records = int(count.sum())
         if not records or most is not None and records > 0.9 * most:
             break
-        key = got["u"].to_numpy().view(_U)
-        order = np.argsort(key)
-        only, most, seed = key[order], records, seed + 1
-        out = _wide_round(nodes, masks, only, -(-got["c"].to_numpy()[order] // GROUP), seed, records)
+        only, most, seed = key, records, seed + 1
+        out = _wide_round(nodes, masks, only, -(-count // GROUP), seed, records)
         linked = out.where("v is not null").select("u", "v")
         every.append(linked)
-        # what the blocks connect goes on as one: nodes with a link to a smaller one stand back
+        # for these first links, what the blocks connect goes on as one: nodes with a link to a smaller one stand back
         nodes = written(nodes.join(linked.select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "wide-roots")
     links = every[0]
     for x in every[1:]:
         links = links.unionByName(x)
-    return written(links.distinct(), "links")
+    return written(links.distinct(), "links"), masks, crowded
+
+
+_APART = np.dtype([*_NODE.descr, ("root", "<i8"), ("side", "u1")])
+_WITHIN = 2  # side of the records of a block that meets itself; 0 and 1 are the lower and the upper block of two
+
+
+def _apart_links(rows: np.ndarray, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Links within each key between nodes of different roots; of each node all, or the nearest."""
+    rows = rows[np.lexsort((rows["node"], rows["root"], rows["side"], rows["key"]))]
+    fps, node, root, key, side = np.stack([rows[f] for f in _FPS], axis=1), rows["node"], rows["root"], rows["key"], rows["side"]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+    u, v, held = [], [], 0
+    for a, b in zip(edge[:-1], edge[1:]):
+        if side[a] == _WITHIN:
+            if root[a] == root[b - 1]:
+                continue
+            run = a + np.searchsorted(root[a:b], root[a:b], side="right")  # where the roots after one's own begin
+            meets = ((i, np.arange(run[i - a], b)) for i in range(a, b) if run[i - a] < b)
+        else:
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            few, many = sorted((np.arange(a, cut), np.arange(cut, b)), key=len)
+            meets = ((i, many[root[many] != root[i]]) for i in few.tolist())
+        for i, rest in meets:
+            got = rest[_wide_near(fps, np.full(len(rest), i), rest)]
+            if nearest and len(got) > 1:
+                got = got[[np.bitwise_count(fps[got] ^ fps[i]).sum(axis=1).argmin()]]
+            if len(got):
+                u.append(np.full(len(got), node[i]))
+                v.append(node[got])
+                held += len(got)
+                if held >= 1 << 17:
+                    yield _linked(np.concatenate(u), np.concatenate(v))
+                    u, v, held = [], [], 0
+    if held:
+        yield _linked(np.concatenate(u), np.concatenate(v))
+
+
+def _node_keys(fps: list[np.ndarray], masks: np.ndarray, only: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, their keys, places in `only`) under each mask, of those keys that are in `only`."""
+    for t, mask in enumerate(masks):
+        key = np.full(len(fps[0]), t, _U)
+        for f, m in zip(fps, mask):
+            key = mix(key * _U(3) + (f & m))
+        spot = np.minimum(np.searchsorted(only, key), len(only) - 1)
+        at = np.flatnonzero(only[spot] == key)
+        if len(at):
+            yield at, key[at], spot[at]
+
+
+def _large_roots(nodes: DataFrame, masks: np.ndarray, only: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, root, count) of the roots with more than `least` nodes under one of the keys `only`."""
+    held = nodes.sparkSession.sparkContext.broadcast((masks, only))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks, only = held.value
+        for batch in batches:
+            root, fps = batch["root"].to_numpy(), [batch[f].to_numpy().view(_U) for f in _FPS]
+            for at, key, _ in _node_keys(fps, masks, only):
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(root[at])], names=["key", "root"])
+
+    got = nodes.select("root", *_FPS).mapInArrow(run, "key long, root long").groupBy("key", "root").count().where(F.col("count") > least).toArrow()
+    return got["key"].to_numpy().view(_U), got["root"].to_numpy(), got["count"].to_numpy()
+
+
+def _apart(nodes: DataFrame, masks: np.ndarray, crowded: tuple[np.ndarray, np.ndarray], nearest: bool) -> DataFrame:
+    """Links (u, v) under the crowded keys between nodes (node, root, f0..) of different roots: all, or the nearest of each node under each key.
+
+    The nodes of a key are dealt out in blocks, each pair of blocks meets. A root lies in one block; one that is too large has several of
+    its own, which need not meet each other. So a group that is connected costs what its nodes cost, not what its pairs do.
+    """
+    spark, half = nodes.sparkSession, max(1, GROUP // 2)
+    only, count = crowded
+    over = count > GROUP
+    large_key, large_root, large_n = _large_roots(nodes, masks, only[over], half // 2) if over.any() else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.lexsort((large_root, large_key))
+    large_key, large_root, large_n = large_key[order], large_root[order], large_n[order]
+    spot, blocks = np.searchsorted(only, large_key), -(-large_n // half)
+    small = np.where(over, np.maximum(1, -(-(count - np.bincount(spot, large_n, len(only)).astype(np.int64)) // half)), 1)
+    total = small + np.bincount(spot, blocks, len(only)).astype(np.int64)
+    before = np.cumsum(blocks) - blocks  # a key's large roots stand next to each other
+    start = small[spot] + before - before[np.searchsorted(spot, spot)] if len(spot) else before
+    name = mix(large_key * _U(3) + large_root.astype(_U))
+    order = np.argsort(name)
+    held = spark.sparkContext.broadcast((masks, only, small, total, name[order], start[order], blocks[order]))
+    n_parts = meeting.parts(spark, int((count * total).sum()))
+    step = _U(0x9E3779B97F4A7C15)
+
+    def records(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        masks, only, small, total, name, start, blocks = held.value
+        node, root, fps = batch["node"].to_numpy(), batch["root"].to_numpy(), [batch[f].to_numpy().view(_U) for f in _FPS]
+        for at, key, spot in _node_keys(fps, masks, only):
+            block = (mix(root[at].astype(_U)) % small[spot].astype(_U)).astype(np.int64)
+            first, last = np.full(len(at), -1), np.full(len(at), -1)  # blocks that need not be met
+            if len(name):
+                own = mix(key * _U(3) + root[at].astype(_U))
+                x = np.minimum(np.searchsorted(name, own), len(name) - 1)
+                is_large = name[x] == own
+                first, last = np.where(is_large, start[x], -1), np.where(is_large, start[x] + blocks[x], -1)
+                block = np.where(is_large, start[x] + (mix(node[at].astype(_U)) % blocks[x].astype(_U)).astype(np.int64), block)
+            for other in range(int(total[spot].max())):
+                to = np.flatnonzero((other < total[spot]) & ~((first <= other) & (other < last)))
+                low, high = np.minimum(block[to], other), np.maximum(block[to], other)
+                rows = np.empty(len(to), _APART)
+                rows["key"] = mix(mix(key[to] + step * (low + 1).astype(_U)) + step * (high + 1).astype(_U))
+                rows["node"], rows["root"] = node[at[to]], root[at[to]]
+                rows["side"] = np.where(low == high, _WITHIN, block[to] == high)
+                for f_, f in zip(_FPS, fps):
+                    rows[f_] = f[at[to]]
+                yield rows
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meeting.pack((rows for batch in batches for rows in records(batch)), n_parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meeting.meet(batches, _APART, None, lambda rows: _apart_links(rows, nearest), _refused)
+
+    out = meeting.deal(nodes.select("node", "root", *_FPS).mapInArrow(send, meeting.SENT)).mapInArrow(meet, "u long, v long, c long")
+    return written(out.select("u", "v").distinct(), "apart")
 
 
 def _checked(links: DataFrame, bodies: DataFrame, jaccard_: float) -> DataFrame:
@@ -428,18 +582,34 @@ def _similar(own: DataFrame, width: int, jaccard_: float) -> DataFrame:
     kinds = "doc long, s0 long, s1 long, " + ", ".join(f"{f} long" for f in _FPS)
     sets = written(own.mapInArrow(lambda b: _sets_and_fingerprints(b, width), kinds), "shingle-sets")
     nodes = written(sets.groupBy("s0", "s1").agg(F.min("doc").alias("node"), *[F.min(f).alias(f) for f in _FPS]), "set-nodes")
-    links = wide_links(nodes.select("node", *_FPS), jaccard_)
-    ends = links.select(F.col("u").alias("doc")).unionByName(links.select(F.col("v").alias("doc"))).distinct()
-    bodies = written(own.join(ends, "doc", "left_semi").mapInArrow(lambda b: _bodies(b, width), "doc long, body binary"), "bodies")
+    links, masks, crowded = wide_links(nodes.select("node", *_FPS), jaccard_)
+
+    def bodies_of(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("u").alias("doc")).unionByName(links.select(F.col("v").alias("doc"))).distinct()
+        return written(own.join(ends, "doc", "left_semi").mapInArrow(lambda b: _bodies(b, width), "doc long, body binary"), "bodies")
+
+    bodies = bodies_of(links)
     # one link a node first; then only those between groups that are not connected yet
-    first = _checked(links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), bodies, jaccard_)
+    good = _checked(links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), bodies, jaccard_)
     root = lambda roots, c: roots.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
-    roots = written(components(first), "roots")
+    roots = written(components(good), "roots")
     apart = links.join(root(roots, "u"), "u", "left").join(root(roots, "v"), "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
     rest = _checked(apart, bodies, jaccard_)
     if not rest.isEmpty():
-        roots = written(components(first.unionByName(rest)), "roots")
+        good = good.unionByName(rest)
+        roots = written(components(good), "roots")
     discard(bodies)
+    for nearest in (True, False) if len(crowded[0]) else ():  # the nearest first, so that fewer are left apart
+        rooted = written(nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", *_FPS, F.coalesce("root", "node").alias("root")), "rooted")
+        apart = _apart(rooted, masks, crowded, nearest)
+        if apart.isEmpty():
+            break
+        bodies = bodies_of(apart)
+        rest = _checked(apart, bodies, jaccard_)
+        discard(bodies)
+        if not rest.isEmpty():
+            good = good.unionByName(rest)
+            roots = written(components(good), "roots")
     rooted = nodes.join(roots, F.col("node") == F.col("u"), "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
     return sets.select("doc", "s0", "s1").join(rooted, ["s0", "s1"]).select("doc", "root")
 

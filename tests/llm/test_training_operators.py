@@ -244,6 +244,29 @@ def test_similar_groups(spark, group, monkeypatch):
     assert all(got[i] <= i and got[got[i]] == got[i] for i in got)
 
 
+def test_similar_groups_of_crowded_keys(spark, monkeypatch):
+    """Links that fail their check, under keys with many links or too many fingerprints, hide no others."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(4):  # each text differs a little from the one before, and more from those further off
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for k in range(24):
+            rows.append((c * 100 + k, " ".join(words)))
+            words[(k * 7) % 150] = f"x{rng.randrange(10**6)}"
+            words[(k * 7 + 61) % 150] = f"y{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]  # ids in no order of the chain
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda: {r.id: r.component for r in simhash.similar_groups(df).collect()}
+    want = groups()
+    assert len(set(want.values())) == 4
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 2)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    assert groups() == want
+    monkeypatch.setattr(simhash, "GROUP", 3)
+    assert groups() == want
+
+
 def brute_components_of(n, pairs):
     parent = list(range(n))
 
