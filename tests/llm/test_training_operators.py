@@ -77,6 +77,19 @@ def test_lm_segments_and_shuffle_change_nothing(docs):
     assert a == b == c
 
 
+def test_lm_asks_by_few_rows(spark, monkeypatch):
+    """A task's texts ask together, one row a part of the key space, however small the buffers of texts are."""
+    rng, asked, write = random.Random(5), [], lm.written
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(400))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, lm_rows(df)))
+    monkeypatch.setattr(words, "BUFFER", 5000)
+    monkeypatch.setattr(lm, "written", lambda d, name: asked.append(write(d, name)) or asked[-1] if name == "asked" else write(d, name))
+    got = sorted(map(tuple, lm_rows(df, segment_bytes=4000, most_segments=0)))
+    assert len(asked) == 2 and all(a.count() <= 1 + 2 * (1 << lm.REGION_BITS - lm.PART_BITS) for a in asked)
+    assert [r[:-2] for r in got] == [r[:-2] for r in want] and np.allclose([r[-2:] for r in got], [r[-2:] for r in want])
+
+
 def lm_reference(texts, weights):
     """Scores from dictionaries of exact counts, quantised as the filter's levels, and the sum of P over each context's vocabulary."""
     uni, bi, toks = Counter(), Counter(), []
